@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,27 +103,25 @@ def join_tree(parts: list[list[int]], hard: list[bool], path: str) -> list[int]:
 
 def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", long_chars: int = LONG_CHARS, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """key, n_tokens long, ids binary (little-endian unsigned 32-bit), decoded string."""
+    kind = dict(docs.dtypes)[key]
     whole = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = dict(whole.dtypes)["id"]
-    result = f"id {kind}, n_tokens long, ids binary, decoded string"
+    result = "n_tokens long, ids binary, decoded string"
 
-    def finished(keys, ids: list[bytes]) -> Iterator[pd.DataFrame]:
-        for i in range(0, len(ids), ROWS_OUT):
-            some = ids[i : i + ROWS_OUT]
-            yield pd.DataFrame({"id": keys[i : i + ROWS_OUT], "n_tokens": [len(x) // 4 for x in some], "ids": some, "decoded": [decode(x, path) for x in some]})
+    def finished(keys: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([decode(x, path) for x in ids], pa.string())], ["id", "n_tokens", "ids", "decoded"])
 
-    def encode_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), ROWS_OUT):
-                some = pdf.iloc[i : i + ROWS_OUT]
-                yield from finished(some["id"], encoder(path).encode(some["text"].tolist()))
+    def encode_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS_OUT):
+                some = batch.slice(i, ROWS_OUT)
+                yield finished(some.column("id"), encoder(path).encode(some.column("text").to_pylist()))
 
     def cut_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, row, text in zip(pdf["id"], pdf["row"], pdf["text"], strict=True):
                 enc = encoder(path)
                 parts = [(text, False)] if any(s in text for s in enc.special) else segments(text, segment_chars)
-                yield pd.DataFrame({"id": pd.Series([i] * len(parts), dtype=pdf["id"].dtype), "row": row, "n": range(len(parts)), "hard": [h for _, h in parts], "text": [t for t, _ in parts]})
+                yield pd.DataFrame({"id": [i] * len(parts), "row": row, "n": range(len(parts)), "hard": [h for _, h in parts], "text": [t for t, _ in parts]})
 
     def encode_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -131,11 +130,13 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     def join_parts(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
         ids = join_tree([np.frombuffer(x, dtype="<u4").tolist() for x in pdf["ids"]], pdf["hard"].tolist(), path)
-        return next(finished(pdf["id"].iloc[:1].reset_index(drop=True), [np.asarray(ids, dtype="<u4").tobytes()]))
-
-    short = whole.filter(F.char_length("text") <= long_chars).mapInPandas(encode_short, result)
-    long = whole.filter(F.char_length("text") > long_chars).withColumn("row", F.monotonically_increasing_id())
-    parts = long.mapInPandas(cut_long, f"id {kind}, row long, n int, hard boolean, text string").repartition("row", "n")
-    ids = parts.mapInPandas(encode_part, f"id {kind}, row long, n int, hard boolean, ids binary")
-    joined = ids.groupBy("row").applyInPandas(join_parts, result)
+        packed = np.asarray(ids, dtype="<u4").tobytes()
+        return pd.DataFrame({"id": pdf["id"].iloc[:1].tolist(), "n_tokens": [len(ids)], "ids": [packed], "decoded": [decode(packed, path)]})
+
+    short = whole.filter(F.char_length("text") <= long_chars).mapInArrow(encode_short, f"id {kind}, {result}")
+    # ids travel as text where pandas would turn a null into a float
+    long = whole.filter(F.char_length("text") > long_chars).withColumns({"id": F.col("id").cast("string"), "row": F.monotonically_increasing_id()})
+    parts = long.mapInPandas(cut_long, "id string, row long, n int, hard boolean, text string").repartition("row", "n")
+    ids = parts.mapInPandas(encode_part, "id string, row long, n int, hard boolean, ids binary")
+    joined = ids.groupBy("row").applyInPandas(join_parts, f"id string, {result}").withColumn("id", F.col("id").cast(kind))
     return short.unionByName(joined).withColumnRenamed("id", key)

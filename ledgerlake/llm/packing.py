@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,18 +36,22 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ma
     kind = dict(whole.dtypes)["id"]
     closing = np.asarray([closing_id], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), ROWS_IN):
-                some = pdf.iloc[i : i + ROWS_IN]
-                all_ids = [x + closing for x in encoder(path).encode(some["text"].tolist())]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS_IN):
+                some = batch.slice(i, ROWS_IN)
+                all_ids = [x + closing for x in encoder(path).encode(some.column("text").to_pylist())]
                 lengths = [piece_lengths(len(x) // 4, max_length) for x in all_ids]
-                flat = np.fromiter((n for p in lengths for n in p), dtype=np.int64)
-                counts = [len(p) for p in lengths]
-                starts = np.concatenate([np.cumsum([0, *p[:-1]]) for p in lengths])
-                totals = np.repeat([len(x) // 4 for x in all_ids], counts)
-                pieces = [x[4 * a : 4 * (a + n)] for x, p in zip(all_ids, lengths, strict=True) for a, n in zip(np.cumsum([0, *p[:-1]]).tolist(), p, strict=True)]
-                yield pd.DataFrame({"id": some["id"].repeat(counts).reset_index(drop=True), "start": starts, "length": flat, "bucket": np.log2(flat).astype(np.int32), "doc_tokens": totals, "ids": pieces})
-
-    pieces = whole.mapInPandas(cut, f"id {kind}, start long, length long, bucket int, doc_tokens long, ids binary")
+                starts = [np.cumsum([0, *p[:-1]]).tolist() for p in lengths]
+                rows = np.repeat(np.arange(some.num_rows), [len(p) for p in lengths])
+                flat = [n for p in lengths for n in p]
+                pieces = [x[4 * a : 4 * (a + n)] for x, s, p in zip(all_ids, starts, lengths, strict=True) for a, n in zip(s, p, strict=True)]
+                totals = np.asarray([len(x) // 4 for x in all_ids])[rows]
+                columns = [
+                    some.column("id").take(pa.array(rows)), pa.array([a for s in starts for a in s], pa.int64()), pa.array(flat, pa.int64()),
+                    pa.array([n.bit_length() - 1 for n in flat], pa.int32()), pa.array(totals, pa.int64()), pa.array(pieces, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "bucket", "doc_tokens", "ids"])
+
+    pieces = whole.mapInArrow(cut, f"id {kind}, start long, length long, bucket int, doc_tokens long, ids binary")
     return pieces.select(F.col("id").alias(key), "start", "length", "bucket", "doc_tokens", "ids", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
