@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, sharding, topk, toxicity
+from . import bpe, exact_dedup, packing, pii, quality, sharding, topk, toxicity
 from .common import held_out, table
 
 
@@ -28,6 +28,14 @@ def op2_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+SURROGATE_KEY = "ledgerlake-surrogates"  # a deployment passes its own secret
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return replaced.select("doc_id", "text", F.col("__entities").alias("n_entities"))
+
+
 def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 40)
 
@@ -51,7 +59,7 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_cover_tree_topk, op4_rendezvous_sharding, op5_bpe_tree, op6_weak_label_quality, op9_extendible_dedup, op10_binary_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_cover_tree_topk, op3_pii_surrogates, op4_rendezvous_sharding, op5_bpe_tree, op6_weak_label_quality, op9_extendible_dedup, op10_binary_packing)}
 
 SQL = {
     "op2_cover_tree_topk": """
