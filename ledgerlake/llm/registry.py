@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, pii, quality, repeats, sharding, topk, toxicity
+from . import bpe, exact_dedup, near_dedup, packing, pii, quality, repeats, sharding, topk, toxicity
 from .common import held_out, table
 
 
@@ -55,6 +55,10 @@ def op7_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("bucket", "chain_pos")
 
@@ -64,7 +68,7 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_cover_tree_topk, op3_pii_surrogates, op4_rendezvous_sharding, op5_bpe_tree, op6_weak_label_quality, op7_run_length_index, op9_extendible_dedup, op10_binary_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_cover_tree_topk, op3_pii_surrogates, op4_rendezvous_sharding, op5_bpe_tree, op6_weak_label_quality, op7_run_length_index, op8_order_minhash, op9_extendible_dedup, op10_binary_packing)}
 
 SQL = {
     "op2_cover_tree_topk": """
