@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import ship
+
 NOW = "2024-01-31 00:00:00"
 
 FIXTURES = {
@@ -70,6 +72,7 @@ def now() -> Column:
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
