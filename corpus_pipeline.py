@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.session import ship
 from ledgerlake.llm import exact_dedup, near_dedup, packing, pii, quality
-from ledgerlake.llm.common import ship, stored, table
+from ledgerlake.llm.common import stored, table
 from ledgerlake.llm.registry import SURROGATE_KEY, tokenizer_path
 
 
