@@ -78,6 +78,15 @@ SQL = {
                    FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 20 = 0)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
         FROM s QUALIFY rank <= 20""",
+    # CRC-32 by its table, which a list of remainders gives; rendezvous winners as the first largest hash.
+    "op4_rendezvous_sharding": """
+        WITH k AS (SELECT list(r ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r FROM range(256) s(i))),
+             d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+                          list_transform(string_split(hex(encode(coalesce(text, ''))), ''), lambda x: instr('123456789ABCDEF', x)) AS h FROM documents),
+             b AS (SELECT doc_id, key, size, list_transform(range(size - 16), lambda i: 16 * h[2 * i + 1] + h[2 * i + 2]) AS bytes, list_transform(range(41), lambda i: ('0x' || left(md5(key || '#' || i), 13))::BIGINT) AS u FROM d),
+             s AS (SELECT doc_id, key, size, CASE WHEN size = 16 THEN 0 ELSE xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) END AS text_crc32,
+                          list_position(u[:40], list_max(u[:40])) - 1 AS shard, list_position(u, list_max(u)) - 1 AS grown_shard FROM b, k)
+        SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY md5(key), doc_id, text_crc32, size) - 1 AS slot, grown_shard::INT AS grown_shard FROM s""",
     "op9_extendible_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS norm FROM documents),
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
