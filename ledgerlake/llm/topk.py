@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16_384
 GROUP_ROWS = 4_096
-LEAF = 64
+LEAF = 256
 
 
 class CoverTree:
@@ -71,11 +71,16 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
     def leaves(a: CoverTree, b: CoverTree) -> None:
         s = queries[a.points] @ data[b.points].T
         s[query_ids[a.points][:, None] == data_ids[b.points][None, :]] = -np.inf
-        both = np.concatenate([scores[a.points], s], axis=1)
-        names = np.concatenate([ids[a.points], np.broadcast_to(data_ids[b.points], s.shape)], axis=1)
+        # only queries that gain something are sorted again
+        gains = np.flatnonzero(s.max(axis=1) >= scores[a.points, -1])
+        if not len(gains):
+            return
+        rows, s = a.points[gains], s[gains]
+        both = np.concatenate([scores[rows], s], axis=1)
+        names = np.concatenate([ids[rows], np.broadcast_to(data_ids[b.points], s.shape)], axis=1)
         best = np.lexsort((names, -both), axis=1)[:, :k]
-        scores[a.points] = np.take_along_axis(both, best, axis=1)
-        ids[a.points] = np.take_along_axis(names, best, axis=1)
+        scores[rows] = np.take_along_axis(both, best, axis=1)
+        ids[rows] = np.take_along_axis(names, best, axis=1)
 
     qtree, dtree = CoverTree(queries, np.arange(len(queries))), CoverTree(data, np.arange(len(data)))
     n = 0
