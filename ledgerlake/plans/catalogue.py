@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import fired_partition_key, partition_key, valid_category_key, valid_partition_key
+from ..functions.columns import canonical_json, fired_partition_key, partition_key, valid_category_key, valid_partition_key
 from ..functions.masks import mask_hash, mask_partial, mask_redact, warehouse_mask
 from ..operators import audit, lineage, metadata, policies, quality, relational, reviews, runs, schemas
 from ..sources.files import read_files, type_token
@@ -836,7 +836,7 @@ def audit_kept(spark, sf):
     return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
 
 
-_PART_VERSIONS = "SELECT p_name AS asset, p_type AS description, p_brand AS owner, p_size, p_partkey FROM part"
+_PART_VERSIONS = "SELECT concat(p_name, ' ', CAST(p_partkey - p_partkey % 2 AS VARCHAR(20))) AS asset, p_type AS description, p_brand AS owner, p_size, p_partkey FROM part"
 
 
 def _parts(spark, sf):
@@ -852,9 +852,9 @@ def _rank(term: str) -> str:
     return " + ".join(f"CASE WHEN {_WORDS.format(c, term)} THEN {w} ELSE 0 END" for c, w in (("asset", 1.0), ("description", 0.4), ("owner", 0.2), ("concat('size', p_size)", 0.2)))
 
 
-@query(f"WITH {_NEWEST}, r AS (SELECT asset, {_rank('steel')} AS a, {_rank('brand')} AS b FROM p) SELECT asset AS name, round(a + b, 6)::DOUBLE AS rank FROM r WHERE a > 0 AND b > 0")
+@query(f"WITH {_NEWEST}, r AS (SELECT asset, {_rank('large')} AS a, {_rank('promo')} AS b FROM p) SELECT asset AS name, round(a + b, 6)::DOUBLE AS rank FROM r WHERE a > 0 AND b > 0")
 def search_parts(spark, sf):
-    return metadata.search_assets(_parts(spark, sf), "STEEL brand").select("name", F.round("rank", 6).alias("rank"))
+    return metadata.search_assets(_parts(spark, sf), "LARGE promo").select("name", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {_NEWEST} SELECT 'tag' AS facet, concat('size', p_size) AS value FROM p UNION SELECT 'owner', owner FROM p")
@@ -862,13 +862,11 @@ def facets(spark, sf):
     return relational.facets(relational.latest(_parts(spark, sf), "asset", "created_at"))
 
 
-@query("""WITH n AS (SELECT DISTINCT a || '.' || c AS name, a, c FROM (SELECT from_asset AS a, from_column AS c FROM fx_column_edges WHERE superseded_at IS NULL UNION SELECT to_asset, to_column FROM fx_column_edges WHERE superseded_at IS NULL))
-          SELECT name, 1.4::DOUBLE AS rank FROM n WHERE c = 'c_name' AND a = 'customer:17' UNION ALL SELECT NULL, NULL FROM n WHERE false""".replace("c = 'c_name' AND a = 'customer:17'", "a = 'customer:17' AND c = 'c_name'"))
+@query("""WITH n AS (SELECT DISTINCT a || '.' || c AS name, a, c FROM (SELECT from_asset AS a, from_column AS c FROM fx_column_edges WHERE superseded_at IS NULL UNION SELECT to_asset, to_column FROM fx_column_edges WHERE superseded_at IS NULL) x)
+          SELECT name, 1.4::DOUBLE AS rank FROM n WHERE a LIKE 'nation:%' AND c = 'n_name'""")
 def search_columns(spark, sf):
-    out = metadata.search_columns(fixture(spark, sf, "fx_column_edges"), "customer 17 c name")
-    weighted = out.select("name", F.round("rank", 6).alias("r"))
-    # customer and 17 are in the asset's name, c and name in the column's
-    return weighted.select("name", F.round(F.col("r") - 1.4, 6).alias("rank"))
+    # nation is a word of the asset, name one of the column
+    return metadata.search_columns(fixture(spark, sf, "fx_column_edges"), "nation name").select("name", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {_NEWEST} SELECT asset, owner FROM p ORDER BY p_partkey DESC LIMIT 50")
@@ -876,7 +874,7 @@ def asset_catalogue(spark, sf):
     return metadata.list_assets(_parts(spark, sf)).select("asset", "owner")
 
 
-_RUNTIME = "SELECT p_name AS asset, CASE WHEN p_partkey % 2 = 0 THEN concat('about ', p_type) ELSE '' END AS description, CASE WHEN p_partkey % 3 = 0 THEN 'new owner' ELSE '' END AS owner, p_partkey AS id FROM part WHERE p_partkey % 4 < 3"
+_RUNTIME = "SELECT concat(p_name, ' ', CAST(p_partkey - p_partkey % 2 AS VARCHAR(20))) AS asset, CASE WHEN p_partkey % 2 = 0 THEN concat('about ', p_type) ELSE '' END AS description, CASE WHEN p_partkey % 3 = 0 THEN 'new owner' ELSE '' END AS owner, p_partkey AS id FROM part WHERE p_partkey % 4 < 3"
 
 
 @query(f"""WITH {_NEWEST}, r AS (SELECT * FROM ({_RUNTIME}) QUALIFY row_number() OVER (PARTITION BY asset ORDER BY id DESC) = 1)
@@ -886,6 +884,88 @@ def effective_metadata(spark, sf):
     return metadata.effective_metadata(_parts(spark, sf), put).select("asset", "description", "owner")
 
 
+@query(f"""WITH {_NEWEST}, r AS (SELECT asset, {_rank('10')} AS w FROM p), n AS (SELECT DISTINCT a || '.' || c AS name FROM (SELECT from_asset AS a, from_column AS c FROM fx_column_edges WHERE superseded_at IS NULL UNION SELECT to_asset, to_column FROM fx_column_edges WHERE superseded_at IS NULL)),
+           u AS (SELECT 'asset' AS kind, asset AS name, w AS rank FROM r WHERE w > 0 UNION ALL SELECT 'column', name, 0.4 FROM n WHERE regexp_matches(name, '^[a-z]+:10[.]')) SELECT kind, name, round(rank, 6)::DOUBLE AS rank, (SELECT count(*) FROM u) AS total FROM u ORDER BY rank DESC, name, kind LIMIT 20""")
+def search_combined(spark, sf):
+    page, total = metadata.combined(metadata.search_assets(_parts(spark, sf), "10"), metadata.search_columns(fixture(spark, sf, "fx_column_edges"), "10"))
+    return page.select("kind", "name", F.round("rank", 6).alias("rank"), F.lit(total).cast("long").alias("total"))
+
+
+@query(f"""WITH {_NEWEST} SELECT asset, concat_ws(',', 'size' || p_size, CASE WHEN owner <> 'size' || p_size THEN owner END) AS tags FROM p""")
+def merged_tags(spark, sf):
+    newest = relational.latest(_parts(spark, sf), "asset", "created_at")
+    kind = ["id", "asset", "column_name", "description", "owner", "tags", "set_by", "set_at"]
+    row = newest.withColumns({"id": F.lit(1), "column_name": F.lit(None).cast("string"), "set_by": F.lit("me"), "set_at": F.lit(1)})
+    put = row.withColumns({"id": F.lit(2), "set_at": F.lit(2), "tags": F.array("owner", F.get("tags", F.lit(0)))})
+    return metadata.put_metadata(row.select(*kind), put.select(*kind)).filter("id = 2").select("asset", ordered("tags"))
+
+
+_REPORTED = "SELECT concat('customer:', CAST(o_custkey AS VARCHAR(20))) AS from_asset, 'c_name' AS from_column, concat('order:', CAST(o_orderkey AS VARCHAR(20))) AS to_asset, 'o_totalprice' AS to_column FROM orders WHERE o_orderkey % 4 = 0"
+
+
+@query(f"""WITH a AS ({_HELD}), w AS ({_REPORTED}) SELECT coalesce(a.from_asset, w.from_asset) AS from_asset, coalesce(a.from_column, w.from_column) AS from_column, coalesce(a.to_asset, w.to_asset) AS to_asset, coalesce(a.to_column, w.to_column) AS to_column, a.from_asset IS NULL AS added, w.from_asset IS NOT NULL AS seen
+           FROM a FULL JOIN w ON a.from_asset = w.from_asset AND a.from_column = w.from_column AND a.to_asset = w.to_asset AND a.to_column = w.to_column""")
+def captured_column_edges(spark, sf):
+    keys = ["from_asset", "from_column", "to_asset", "to_column"]
+    have = lineage.active(fixture(spark, sf, "fx_column_edges")).dropDuplicates(keys).withColumn("last_seen_at", F.col("first_seen_at"))
+    told = derived(spark, sf, _REPORTED).select(F.col("to_asset").alias("asset"), F.create_map("to_column", F.array(F.struct(F.col("from_asset").alias("asset"), F.col("from_column").alias("column")))).alias("lineage"))
+    out = lineage.capture_column_edges(have.select(*keys, "first_seen_at", "last_seen_at", "superseded_at"), told, now())
+    return out.select(*keys, (F.col("first_seen_at") == now()).alias("added"), (F.col("last_seen_at") == now()).alias("seen"))
+
+
+@query("""SELECT concat('part:', CAST(p_partkey AS VARCHAR(20))) AS asset, CASE WHEN p_size % 3 = 0 THEN 'runtime' WHEN p_size % 2 = 0 THEN 'builder_default' ELSE 'undeclared' END AS source FROM part""")
+def lineage_sources(spark, sf):
+    parts = derived(spark, sf, "SELECT concat('part:', CAST(p_partkey AS VARCHAR(20))) AS asset, p_size FROM part")
+    filled = lambda c: F.when(c, F.create_map(F.lit("c"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>"))
+    run = parts.select("asset", filled(F.col("p_size") % 3 == 0).alias("lineage"))
+    return lineage.resolve_lineage(run, parts.select("asset", filled(F.col("p_size") % 2 == 0).alias("lineage"))).select("asset", "source")
+
+
+@query("""WITH v AS (SELECT DISTINCT p_brand AS asset, p_type AS code_hash, p_size < 25 AS old FROM part), o AS (SELECT DISTINCT asset, code_hash FROM v WHERE old), n AS (SELECT DISTINCT asset, code_hash FROM v WHERE NOT old EXCEPT SELECT asset, code_hash FROM o)
+          SELECT asset, code_hash, 'pending' AS drift_status FROM o UNION ALL SELECT asset, code_hash, 'clean' FROM n""")
+def registered_versions(spark, sf):
+    v = base(spark, sf, "part").select(F.col("p_brand").alias("asset"), F.col("p_type").alias("code_hash"), "p_size")
+    old = v.filter("p_size < 25").select("asset", "code_hash").distinct().withColumn("drift_status", F.lit("pending"))
+    return lineage.register_versions(old, v.filter("p_size >= 25").select("asset", "code_hash"))
+
+
+@query("""SELECT from_asset, to_asset, CASE WHEN superseded_at IS NULL AND to_asset LIKE 'order:%0' THEN 'run-' || to_asset END AS last_seen_run_id FROM fx_asset_edges""")
+def attributed_runs(spark, sf):
+    e = fixture(spark, sf, "fx_asset_edges").withColumns({"first_seen_run_id": F.lit(lineage.ZERO_RUN), "last_seen_run_id": F.lit(None).cast("string")})
+    r = derived(spark, sf, "SELECT concat('order:', CAST(o_orderkey AS VARCHAR(20))) AS asset FROM orders WHERE o_orderkey % 10 = 0").withColumn("run_id", F.concat(F.lit("run-"), "asset"))
+    return lineage.attribute_run(e, r).select("from_asset", "to_asset", "last_seen_run_id")
+
+
+_PATCHES = "SELECT DISTINCT concat('t', CAST(c_custkey % 50 AS VARCHAR(20))) AS asset, concat('c', CAST(c_custkey % 7 AS VARCHAR(20))) AS column_name, 'redact' AS mask_type, CASE WHEN c_custkey % 2 = 0 THEN 'because' ELSE '' END AS reason FROM customer WHERE c_custkey % 350 < 40"
+
+
+@query(f"""WITH w AS (SELECT * FROM ({_PATCHES}) WHERE reason <> '') SELECT asset, column_name, policy_id, CASE WHEN NOT superseded AND NOT (source = 'runtime' AND EXISTS (SELECT 1 FROM w WHERE w.asset = p.asset AND w.column_name = p.column_name)) THEN 'active' ELSE 'ended' END AS state FROM fx_policies p
+           UNION ALL SELECT asset, column_name, -1, 'active' FROM w""")
+def patched_policies(spark, sf):
+    p = fixture(spark, sf, "fx_policies").withColumns({"superseded_at": F.when(F.col("superseded"), ts("2024-01-01 00:00:00")), "sync_status": F.lit("synced"), "first_seen_at": ts("2023-01-01 00:00:00")})
+    table, _ = policies.patch_policies(p, derived(spark, sf, _PATCHES), now(), F.lit(-1).cast("long"))
+    return table.select("asset", "column_name", "policy_id", F.when(F.col("superseded_at").isNull(), "active").otherwise("ended").alias("state"))
+
+
+@query("""SELECT policy_id, CASE WHEN NOT superseded AND asset IN ('t1', 't2') THEN 'warehouse-native' ELSE enforcement_mode END AS enforcement_mode, CASE WHEN NOT superseded AND asset IN ('t1', 't2') THEN 'synced' ELSE 'pending' END AS sync_status FROM fx_policies""")
+def policy_states(spark, sf):
+    p = fixture(spark, sf, "fx_policies").withColumns({"superseded_at": F.when(F.col("superseded"), ts("2024-01-01 00:00:00")), "sync_status": F.lit("pending")})
+    updates = p.filter(F.col("asset").isin("t1", "t2")).select("asset", "column_name").distinct().withColumns({"enforcement_mode": F.lit("warehouse-native"), "sync_status": F.lit("synced")})
+    return policies.set_policy_state(p, updates).select("policy_id", "enforcement_mode", "sync_status")
+
+
+@query("""SELECT event_id, concat('{"a":"', CAST(user_id AS VARCHAR), '","b":"', event_type, '"}') AS json FROM events""")
+def canonical_payloads(spark, sf):
+    return base(spark, sf, "events").select("event_id", canonical_json(F.create_map(F.lit("b"), F.col("event_type"), F.lit("a"), F.col("user_id").cast("string"))).alias("json"))
+
+
+@query(f"""{_CHANGES} SELECT asset, version, kind, column_name, NOT (version = 1 AND column_name IS NOT NULL) AND kind = 'column_dropped' AND version = 3 AS acked FROM k""")
+def acknowledged_changes(spark, sf):
+    c = _changes(spark, sf).withColumn("change_id", F.concat_ws("|", "asset", "version", "kind", "column_name")).withColumns({"acknowledged_by": F.lit(None).cast("string"), "acknowledgement_reason": F.lit(None).cast("string")})
+    acks = c.filter("kind = 'column_dropped' and version = 3").select("change_id", F.lit("me").alias("by"), F.lit("known").alias("reason"))
+    return schemas.ack_changes(c, acks, now())[0].select("asset", "version", "kind", "column_name", F.col("acknowledged_by").isNotNull().alias("acked"))
+
+
 @query()
 def sensor_firings(spark, sf):
     return monitors.sensor_firings(fixture(spark, sf, "fx_sensor_evals"), 3600)
