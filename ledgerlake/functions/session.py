@@ -1,8 +1,9 @@
-"""Shared storage and lineage cutting for iterative operators."""
+"""The folder that all machines share, and tables written there between the steps of iterative operators."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +14,25 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir, the folder that driver and executors share; makes one only where it is unset (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlake-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the checkpoint folder, so that loops neither recompute nor grow their plans."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if now.isDefined():
+        return now.get()
+    made = tempfile.mkdtemp(prefix="ledgerlake-")
+    spark.sparkContext.setCheckpointDir(made)
+    return made
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """df computed once, written as a table in the shared folder and read back: loops neither recompute nor grow their plans, and lost executors lose nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def is_empty(df: DataFrame) -> bool:

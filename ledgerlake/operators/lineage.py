@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.session import cut, is_empty
+from ..functions.session import is_empty, stored
 
 MOST_DEPTH = 25
 MOST_UPSTREAMS = 256
@@ -42,21 +42,21 @@ def _walk(steps: DataFrame, seeds: DataFrame, depth: int | None, carry: list[str
     """Frontiers (carry, node) by depth from seeds (carry, node); whether the last one still goes on."""
     now, levels = seeds, []
     while depth is None or len(levels) < depth:
-        now = cut(now.join(steps, now["node"] == steps["src"]).select(*carry, F.col("dst").alias("node")).distinct())
+        now = stored(now.join(steps, now["node"] == steps["src"]).select(*carry, F.col("dst").alias("node")).distinct())
         if is_empty(now):
             return levels, False
         levels.append(now)
         if depth is None:
             # unbounded walks only ask for new nodes
             known = reduce(DataFrame.unionByName, [seeds.select(*carry, "node"), *levels[:-1]])
-            now = levels[-1] = cut(now.join(known, [*carry, "node"], "left_anti"))
+            now = levels[-1] = stored(now.join(known, [*carry, "node"], "left_anti"))
     return levels, not is_empty(now.join(steps, now["node"] == steps["src"], "left_semi"))
 
 
 def _simple_paths(steps: DataFrame, seeds: DataFrame, depth: int, carry: list[str]) -> list[DataFrame]:
     now, levels = seeds.withColumn("path", F.array("node")), []
     for _ in range(depth):
-        now = cut(now.join(steps, now["node"] == steps["src"]).filter(~F.array_contains("path", F.col("dst"))).select(*carry, F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path")))
+        now = stored(now.join(steps, now["node"] == steps["src"]).filter(~F.array_contains("path", F.col("dst"))).select(*carry, F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path")))
         if is_empty(now):
             break
         levels.append(now.select(*carry, "node").distinct())
@@ -71,7 +71,7 @@ def _impact(edges: DataFrame, seeds: DataFrame, direction: str, depth: int, keys
     """
     if not 1 <= depth <= MOST_DEPTH:
         raise ValueError(f"depth has to be from 1 to {MOST_DEPTH}")
-    steps = cut(_steps(edges, direction, keys, moment))
+    steps = stored(_steps(edges, direction, keys, moment))
     levels, goes_on = _walk(steps, seeds, depth, carry)
     if levels:
         start = seeds.select("node").distinct()
@@ -114,7 +114,7 @@ def impact_many(edges: DataFrame, seeds: DataFrame, direction: str = DOWN, depth
 
 def neighborhood(edges: DataFrame, start: str, depth: int = 2, limit: int = 50) -> DataFrame:
     """asset, depth downstream along any walk, the nearest `limit` of them."""
-    levels, _ = _walk(cut(_steps(edges, DOWN, 1, None)), _seed(edges, F.lit(start)), min(depth, 5), [])
+    levels, _ = _walk(stored(_steps(edges, DOWN, 1, None)), _seed(edges, F.lit(start)), min(depth, 5), [])
     if not levels:
         return _seed(edges, F.lit(start)).limit(0).select(F.col("node").alias("asset"), F.lit(0).alias("depth"))
     found = reduce(DataFrame.unionByName, [x.select(F.col("node").alias("asset"), F.lit(i + 1).alias("depth")) for i, x in enumerate(levels)])
@@ -130,22 +130,22 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def upstream_closure(edges: DataFrame, target: str) -> DataFrame:
     """asset: the target and all it depends on."""
     start = _seed(edges, F.lit(target))
-    levels, _ = _walk(cut(_steps(edges, UP, 1, None)), start, None, [])
+    levels, _ = _walk(stored(_steps(edges, UP, 1, None)), start, None, [])
     return reduce(DataFrame.unionByName, levels, start).select(F.col("node").alias("asset")).distinct()
 
 
 def topo_levels(edges: DataFrame) -> DataFrame:
     """asset, level: the longest path from a root; null for assets on a cycle or behind one."""
-    steps = cut(active(edges).select(F.col("from_asset").alias("src"), F.col("to_asset").alias("dst")).distinct())
-    left = cut(steps.select(F.col("src").alias("asset")).unionByName(steps.select(F.col("dst").alias("asset"))).distinct())
+    steps = stored(active(edges).select(F.col("from_asset").alias("src"), F.col("to_asset").alias("dst")).distinct())
+    left = stored(steps.select(F.col("src").alias("asset")).unionByName(steps.select(F.col("dst").alias("asset"))).distinct())
     done, level = [], 0
     while True:
-        ready = cut(left.join(steps.select(F.col("dst").alias("asset")), "asset", "left_anti"))
+        ready = stored(left.join(steps.select(F.col("dst").alias("asset")), "asset", "left_anti"))
         if is_empty(ready):
             break
         done.append(ready.withColumn("level", F.lit(level)))
-        left = cut(left.join(ready, "asset", "left_anti"))
-        steps = cut(steps.join(ready.withColumnRenamed("asset", "src"), "src", "left_anti"))
+        left = stored(left.join(ready, "asset", "left_anti"))
+        steps = stored(steps.join(ready.withColumnRenamed("asset", "src"), "src", "left_anti"))
         level += 1
     return reduce(DataFrame.unionByName, [*done, left.withColumn("level", F.lit(None).cast("int"))])
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masks import apply_mask, warehouse_mask
-from ..functions.session import cut, is_empty
+from ..functions.session import is_empty, stored
 
 SOURCES = ("runtime", "builder", "yaml-default")
 MASKS = ("hash", "redact", "partial")
@@ -78,7 +78,7 @@ def apply_policies(policies: DataFrame, declared: DataFrame, now: Column, code_h
     both = policies.filter(mine).join(declared.select(*KEY, F.col("mask_type").alias("new_mask"), F.col("code_hash").alias("new_hash")), KEY, "full_outer")
     old, new = F.col("mask_type").isNotNull(), F.col("new_mask").isNotNull()
     action = F.when(old & ~new, "retired").when(~old & new, "inserted").when(F.col("mask_type") == F.col("new_mask"), "touched").otherwise("changed")
-    merged = cut(both.withColumn("action", action))
+    merged = stored(both.withColumn("action", action))
     row = lambda mask, last, seen, end: [*KEY, F.col(mask).alias("mask_type"), F.lit("builder").alias("source"), F.coalesce("code_hash_first", "new_hash").alias("code_hash_first"), last.alias("code_hash_latest"), seen.alias("first_seen_at"), end.alias("superseded_at")]
     none = F.lit(None).cast("timestamp_ntz")
     retired = merged.filter(F.col("action").isin("retired", "changed")).select(*row("mask_type", F.col("code_hash_latest"), F.col("first_seen_at"), now))
@@ -149,14 +149,14 @@ def propagate_pii(column_edges: DataFrame, tags: DataFrame) -> DataFrame:
 
 def propagate_pii_all(column_edges: DataFrame, tags: DataFrame) -> DataFrame:
     """asset, column_name of every column that PII reaches over any number of steps; overrides stop it."""
-    steps = cut(column_edges.filter(F.col("superseded_at").isNull()).select("from_asset", "from_column", "to_asset", "to_column").distinct())
+    steps = stored(column_edges.filter(F.col("superseded_at").isNull()).select("from_asset", "from_column", "to_asset", "to_column").distinct())
     fixed = tags.filter(F.col("source") == "override").select(*KEY)
-    now = cut(tags.filter("pii").select(*KEY).distinct())
+    now = stored(tags.filter("pii").select(*KEY).distinct())
     seen = now
     while not is_empty(now):
         move = now.toDF("from_asset", "from_column").join(steps, ["from_asset", "from_column"]).select(F.col("to_asset").alias("asset"), F.col("to_column").alias("column_name")).distinct()
-        now = cut(move.join(fixed, KEY, "left_anti").join(seen, KEY, "left_anti"))
-        seen = cut(seen.unionByName(now))
+        now = stored(move.join(fixed, KEY, "left_anti").join(seen, KEY, "left_anti"))
+        seen = stored(seen.unionByName(now))
     return seen
 
 
