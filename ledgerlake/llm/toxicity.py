@@ -34,7 +34,7 @@ from .words import LINE_END, Chunks, slices
 DIMENSIONS = 1 << 18
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
-MAX_ROWS = 4_000
+MAX_ROWS = 1_500
 BEGINNINGS = range(4, 8)
 LEAST_RATIO = 14.0
 PRIOR = 0.05
