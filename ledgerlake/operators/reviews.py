@@ -104,9 +104,11 @@ def reassign(reviews: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def route(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """events with the channel of every rule (pattern, channel) that matches: *, an exact type, or prefix.*"""
-    pattern = F.col("pattern")
-    prefix = F.expr("substring(pattern, 1, length(pattern) - 1)")
-    globbed = pattern.endswith(".*") & F.col("event_type").startswith(prefix)
-    hit = (pattern == "*") | (pattern == F.col("event_type")) | globbed
-    return events.join(F.broadcast(rules) if rules.count() <= 10_000 else rules, hit)
+    """events with the channel of every rule (pattern, channel) that matches: *, an exact type, or prefix.*
+
+    Each event is asked under the few patterns that can match it, so the join is one on equality.
+    """
+    parts = F.split("event_type", r"\.")
+    prefixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.concat_ws(".", F.slice(parts, 1, n)), F.lit(".*")))).otherwise(F.array().cast("array<string>"))
+    asked = F.array_distinct(F.concat(F.array(F.lit("*"), F.col("event_type")), prefixes))
+    return events.withColumn("pattern", F.explode(asked)).join(rules, "pattern")
