@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import ship
+from ..functions.session import ship, stored  # noqa: F401  (operators take it from here)
 
 # A key is heavy when it holds at least 1/HEAVY_SHARE of all rows, so at most HEAVY_SHARE keys are.
 HEAVY_SHARE = 4096
@@ -20,33 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    now = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get()
-    made = tempfile.mkdtemp(prefix="ledgerlake-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def key_text(key: str = "doc_id") -> Column:
     return F.col(key).cast("string")
 
