@@ -111,18 +111,30 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = padded[:n]
     for i in range(1, width):
         key = (key << bits) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
-    while rank.max() < n - 1:
-        second = np.zeros(n, dtype=np.int64)
-        second[: max(0, n - width)] = rank[width:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
+    order = np.argsort(key)
+    rank = np.empty(n, dtype=np.int64)  # where the suffix's group starts
+    rank[order] = _group_starts(key[order], np.arange(n))
+    while True:
+        # only suffixes that are still tied are sorted again, within the places of their group
+        places = rank[order]
+        tied = np.zeros(n, dtype=bool)
+        tied[1:] = places[1:] == places[:-1]
+        tied[:-1] |= tied[1:]
+        slots = np.flatnonzero(tied)
+        if not len(slots):
+            return order
+        some = order[slots]
+        after = some + width
+        key = rank[some] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        sort = np.argsort(key)
+        order[slots] = some[sort]
+        rank[some[sort]] = _group_starts(key[sort], slots)
         width *= 2
-    return order
+
+
+def _group_starts(keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Of sorted keys that lie in these slots, the slot at which each one's run of equals begins."""
+    return np.maximum.accumulate(np.where(np.concatenate([[True], keys[1:] != keys[:-1]]), slots, 0))
 
 
 class RunLengthIndex:
