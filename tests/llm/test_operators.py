@@ -220,6 +220,29 @@ def test_near_duplicates(spark, docs):
     assert near_dedup.near_duplicates(docs).count() == len({i for i, _ in TEXTS if i is not None})
 
 
+def test_drifting_copies_keep_every_link_between_classes(spark):
+    rng = np.random.default_rng(5)
+    texts = [[f"w{x}" for x in rng.integers(0, 10**6, 100)]]
+    while len(texts) < 400:
+        new = list(texts[rng.integers(0, len(texts))])
+        for at in rng.choice(100, 12, replace=False):
+            new[at] = f"n{len(texts)}_{at}"
+        texts.append(new)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    signed = near_dedup.sketch_texts(df.select(F.col("doc_id").alias("id"), "text", F.lit("").alias("digest")), near_dedup.WORDS, near_dedup.ORDER, near_dedup.SKETCHES)
+    buckets = collections.defaultdict(set)
+    for r in signed.collect():
+        for j, key in enumerate(r.s):
+            buckets[j, key].add(r.id)
+    pairs = sorted({(a, b) for b_ in buckets.values() for a in b_ for b in b_ if a < b})
+    like = near_dedup.similar([(" ".join(texts[a]), " ".join(texts[b])) for a, b in pairs], 0.8)
+    want = list(range(len(texts)))
+    for a, b in (p for p, ok in zip(pairs, like, strict=True) if ok):
+        low, high = sorted((want[a], want[b]))
+        want = [low if x == high else x for x in want]
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == dict(enumerate(want))
+
+
 def test_components(spark):
     pairs = [(i + 1, i) for i in range(40)] + [(101, 100), (102, 101)]
     got = {r.id: r.class_id for r in near_dedup.components(spark.createDataFrame(pairs, "id long, leader long")).collect()}
