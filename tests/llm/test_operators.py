@@ -220,6 +220,22 @@ def test_near_duplicates(spark, docs):
     assert near_dedup.near_duplicates(docs).count() == len({i for i, _ in TEXTS if i is not None})
 
 
+@pytest.mark.parametrize(("n", "edits"), [(5, 1), (10, 2), (15, 2), (15, 3), (30, 6), (80, 16), (100, 15), (100, 20), (400, 80)])
+def test_most_pairs_at_the_threshold_share_a_sketch(spark, n, edits):
+    rng, rows = np.random.default_rng(n + edits), []
+    for i in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        rows.append((2 * i, " ".join(words), ""))
+        for at in rng.choice(n, edits, replace=False):
+            words[at] = f"n{at}"
+        rows.append((2 * i + 1, " ".join(words), ""))
+    df = spark.createDataFrame(rows, "id long, text string, digest string")
+    s = {r.id: r.s for r in near_dedup.sketch_texts(df, near_dedup.WORDS, near_dedup.ORDER, near_dedup.SKETCHES).collect()}
+    recall = np.mean([any(a == b for a, b in zip(s[2 * i], s[2 * i + 1], strict=True)) for i in range(300)])
+    print(n, edits, recall)
+    assert recall >= 0.97
+
+
 def test_drifting_copies_keep_every_link_between_classes(spark):
     rng = np.random.default_rng(5)
     texts = [[f"w{x}" for x in rng.integers(0, 10**6, 100)]]
