@@ -6,9 +6,10 @@ p = 1 - prod(1 - p_s).  Features that the document labels clearly favour (likeli
 weights that maximise the likelihood of the labels under a Gaussian prior.  The same sentence scores
 then tell where a toxic document offends.
 
-The fit takes a bounded sample: at most `max_rows` labelled documents of each label, those of the
+Features are counted by label over all labelled documents that are not held out, in tasks, and tested on
+these counts; the driver gets at most DIMENSIONS counts.  The fit of the weights takes a bounded sample: at most `max_rows` labelled documents of each label, those of the
 smallest id hashes, never a held-out one; a label of which more are known weighs as much as all of
-them.  Everything else runs over all rows in tasks.
+them.  Of the sample only the features that passed the test leave the tasks.  Everything else runs over all rows in tasks.
 
 Defined cases: null and empty texts have no sentence and score 0; null labels teach nothing;
 documents that repeat are scored alike; without a label of each kind all scores are 0; extra columns
@@ -34,7 +35,7 @@ from .words import LINE_END, Chunks, slices
 DIMENSIONS = 1 << 18
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
-MAX_ROWS = 1_500
+MAX_ROWS = 4_000
 BEGINNINGS = range(4, 8)
 LEAST_RATIO = 14.0
 PRIOR = 0.05
@@ -68,15 +69,37 @@ class Model:
         return self.bias + float(sum(self.weights[b] for u in units for b in unit_features(u)))
 
 
-def features(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """keep columns, features binary (uint32 buckets), lengths binary (uint32 features of each sentence)."""
+def sentence_features(text: str | None) -> list[list[int]]:
+    """Buckets of each sentence that has words."""
+    units = [{unit(c) for c in s.split()} - {""} for s in SENTENCE.findall(text or "")]
+    return [[b for u in us for b in unit_features(u)] for us in units if us]
+
+
+def feature_counts(labelled: DataFrame, text: str) -> DataFrame:
+    """bucket, clean, toxic: how many documents of each label hold a feature; bucket -1 counts the documents themselves."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = np.zeros((2, DIMENSIONS + 1), dtype=np.int64)
+        for batch in batches:
+            for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                tally[y, [-1, *{b for s in sentence_features(t) for b in s}]] += 1
+        held = np.flatnonzero(tally.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(held == DIMENSIONS, -1, held)), *(pa.array(tally[v, held]) for v in (0, 1))], ["bucket", "clean", "toxic"])
+
+    each = labelled.select("y", F.col(text).alias("text")).mapInArrow(count, "bucket long, clean long, toxic long")
+    return each.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def features(docs: DataFrame, text: str, keep: list[str], kept: np.ndarray) -> DataFrame:
+    """keep columns, features binary (uint32 places in `kept`, a sorted array of buckets), lengths binary (uint32 features of each sentence)."""
+    shared = docs.sparkSession.sparkContext.broadcast(kept)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = {int(b): i for i, b in enumerate(shared.value)}
         for pdf in batches:
             found, lengths = [], []
             for t in pdf.pop(text):
-                units = [{unit(c) for c in s.split()} - {""} for s in SENTENCE.findall(t or "")]
-                rows = [[b for u in us for b in unit_features(u)] for us in units if us]
+                rows = [[place[b] for b in s if b in place] for s in sentence_features(t)]
                 found.append(np.asarray([b for s in rows for b in s], dtype="<u4").tobytes())
                 lengths.append(np.asarray([len(s) for s in rows], dtype="<u4").tobytes())
             yield pdf.assign(features=found, lengths=lengths)
@@ -92,19 +115,17 @@ def _ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return 2 * sum(np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0) for x, e in parts)
 
 
-def fit(feature: np.ndarray, sentences: np.ndarray, documents: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
-    """feature: bucket of each; sentences: features of each; documents: sentences of each; weight: of each document."""
-    document = np.repeat(np.arange(len(documents)), documents)
-    used, index = np.unique(feature, return_inverse=True)
-    held = np.unique(index.astype(np.int64) * len(documents) + np.repeat(document, sentences))
-    toxic = y[held % len(documents)] == 1
-    a = np.bincount(held // len(documents), toxic, minlength=len(used))
-    b = np.bincount(held // len(documents), ~toxic, minlength=len(used))
-    na, nb = int((y == 1).sum()), int((y == 0).sum())
+def favoured(buckets: np.ndarray, a: np.ndarray, b: np.ndarray, na: int, nb: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that a of na toxic and b of nb clean documents hold and that clearly favour toxic ones, and their first weights."""
     kept = (_ratio(a, b, na, nb) >= LEAST_RATIO) & (a / na > b / nb)
-    w = np.clip(np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1)), 0, 4)[kept]
-    sentence = np.repeat(np.arange(len(sentences)), sentences)[kept[index]]
-    index = (np.cumsum(kept) - 1)[index[kept[index]]]
+    return buckets[kept], np.clip(np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1)), 0, 4)[kept]
+
+
+def fit(kept: np.ndarray, w: np.ndarray, index: np.ndarray, sentences: np.ndarray, documents: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
+    """kept, w: buckets and first weights; index: place of each feature in them; sentences: features of each; documents: sentences of each; weight: of each document."""
+    index = index.astype(np.int64)
+    document = np.repeat(np.arange(len(documents)), documents)
+    sentence = np.repeat(np.arange(len(sentences)), sentences)
     bias, m, v = -6.0, np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(sentence, w[index], minlength=len(sentences))
@@ -117,23 +138,29 @@ def fit(feature: np.ndarray, sentences: np.ndarray, documents: np.ndarray, y: np
         move = 0.2 / (1 + step / 50) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-3)
         w, bias = w - move[:-1], bias - move[-1]
     weights = np.zeros(DIMENSIONS)
-    weights[used[kept]] = w
+    weights[kept] = w
     return Model(weights, float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """Learns from at most max_rows documents of each label, none of them held out."""
-    known = labels.filter(F.col(label).isin(0, 1) & ~held_out(key)).groupBy(key).agg(F.max(label).alias("y"))
+    """Tests features on all labelled documents and fits weights on at most max_rows of each label, none of them held out."""
+    known = labels.filter(F.col(label).isin(0, 1) & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     there = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     ordered = [known.filter(F.col("y") == v).orderBy(F.xxhash64(key), key).limit(max_rows) for v in (0, 1)]
     chosen = docs.select(key, text).join(F.broadcast(ordered[0].unionByName(ordered[1])), key)
-    rows = features(chosen, text, [key, "y"]).toPandas().sort_values(key)
+    counts = feature_counts(docs.select(key, text).join(known, key), text).toPandas().sort_values("bucket")
+    whole = counts["bucket"] == -1
+    nb, na = (int(counts.loc[whole, c].sum()) for c in ("clean", "toxic"))
+    if not na or not nb:
+        return Model(np.zeros(DIMENSIONS), -np.inf)
+    kept, first = favoured(*(counts.loc[~whole, c].to_numpy() for c in ("bucket", "toxic", "clean")), na, nb)
+    rows = features(chosen, text, [key, "y"], kept).toPandas().sort_values(key)
     y = rows["y"].to_numpy()
     if not (y == 1).any() or not (y == 0).any():
         return Model(np.zeros(DIMENSIONS), -np.inf)
     lengths = [np.frombuffer(x, dtype="<u4") for x in rows["lengths"]]
     weight = np.asarray([max(1.0, there[v] / max_rows) for v in y])
-    return fit(np.concatenate([np.frombuffer(x, dtype="<u4") for x in rows["features"]]), np.concatenate(lengths), np.asarray([len(x) for x in lengths]), y, weight)
+    return fit(kept, first, np.concatenate([np.frombuffer(x, dtype="<u4") for x in rows["features"]]), np.concatenate(lengths), np.asarray([len(x) for x in lengths]), y, weight)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:

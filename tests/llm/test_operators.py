@@ -348,6 +348,19 @@ def test_toxicity_learns_and_locates(spark):
     assert {r.score for r in toxicity.score(docs, untaught).collect()} == {0.0}
 
 
+def test_toxicity_counts_features_over_all_labelled_documents(spark):
+    rows = [(i, f"plain words here{' wickedest' if i % 20 == 0 else ' vile' if i % 2 == 0 else ''}.", int(i % 2 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.train(df, df, max_rows=40)
+    assert model.weights[toxicity.bucket("vile")] > 0
+    assert model.weights[toxicity.bucket("wickedest")] > 0  # few of a sample of 40 hold it
+    assert toxicity.MAX_ROWS == 4_000
+    free = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    got = {r.bucket: (r.clean, r.toxic) for r in toxicity.feature_counts(df.filter(F.col("doc_id").isin([r[0] for r in free])).withColumnRenamed("toxic", "y"), "text").collect()}
+    assert got[-1] == (sum(not r[2] for r in free), sum(r[2] for r in free))
+    assert got[toxicity.bucket("wickedest")] == (0, sum("wickedest" in r[1] for r in free))
+
+
 def test_expectation_maximisation_finds_the_accuracies():
     rng = np.random.default_rng(19)
     bad = rng.random(20_000) < 0.3
