@@ -10,7 +10,9 @@ card's first digit and valid check digit, a valid address's four octets; a name
 
 Collision checks: the distinct entities of the corpus are a table; an entity whose surrogate equals
 another's, or equals an entity that occurs, takes the next attempt number until all surrogates are
-distinct (`resolve`).  Entities with a number above 0 are the only ones that documents have to look
+distinct (`resolve`).  From attempt WIDE_FROM on an e-mail address has a keyed host label more and a
+name's words have four syllables more, so small formats that fill do not end the run; the other formats
+keep their width and are an error when theirs is full.  Entities with a number above 0 are the only ones that documents have to look
 up; that table is broadcast only up to BROADCAST_ENTITIES rows and joined by shuffle beyond.
 
 Defined cases: null texts stay null and empty ones empty; texts without entities are untouched; rows
@@ -40,6 +42,7 @@ SYLLABLES = {"latin": "ba de fi go lu ma ne ri so ta ve wi".split(), "cyrillic":
 ENDINGS = {"latin": ("rn", "na"), "cyrillic": ("рн", "на"), "greek": ("ρος", "να")}
 BROADCAST_ENTITIES = 50_000
 MOST_ATTEMPTS = 64
+WIDE_FROM = 8
 
 
 def entity_type(m: Column) -> Column:
@@ -90,7 +93,7 @@ def _keyed_digits(digits: Column, stream: Column, fixed) -> Column:
 
 def surrogate(key: str, kind: Column, name: Column, gender: Column, attempt: Column) -> Column:
     """The canonical form of the surrogate: a function of key, type, canonical form and attempt."""
-    s = F.col("__stream")
+    s, wide = F.col("__stream"), attempt >= WIDE_FROM
     local = F.substring_index(name, "@", 1)
     mailbox = _signs(local, lambda c, i: F.when(c.rlike("[0-9]"), (_byte(s, i) % 10).cast("string")).when(c.rlike(r"\p{L}"), _letters(s, i, "a", 26)).otherwise(c))
     host = F.substring_index(name, "@", -1)
@@ -98,7 +101,8 @@ def surrogate(key: str, kind: Column, name: Column, gender: Column, attempt: Col
     below = F.expr("substring(substring_index(canon, '@', -1), 1, length(substring_index(canon, '@', -1)) - length(substring_index(substring_index(canon, '@', -1), '.', -2)))")
     # what stands below the registered name is keyed, the name itself becomes a reserved one of the same top level
     reserved = F.concat(F.lit("example."), F.substring_index(top, ".", -1))
-    email = F.concat(mailbox, F.lit("@"), _signs(below, lambda c, i: F.when(c.rlike("[0-9]"), (_byte(s, i + 64) % 10).cast("string")).when(c.rlike("[a-z]"), _letters(s, i + 64, "a", 26)).otherwise(c)), reserved)
+    label = F.when(wide, F.concat(*(_letters(s, F.lit(i + 100), "a", 26) for i in range(8)), F.lit("."))).otherwise("")
+    email = F.concat(mailbox, F.lit("@"), _signs(below, lambda c, i: F.when(c.rlike("[0-9]"), (_byte(s, i + 64) % 10).cast("string")).when(c.rlike("[a-z]"), _letters(s, i + 64, "a", 26)).otherwise(c)), label, reserved)
     ipv4 = F.concat_ws(".", *((_byte(s, F.lit(i)) % 254 + 1).cast("string") for i in range(4)))
     secret = _signs(name, lambda c, i: F.lower(F.hex(_byte(s, i) % 16)))
     country = F.length(name) - 10
@@ -112,7 +116,7 @@ def surrogate(key: str, kind: Column, name: Column, gender: Column, attempt: Col
         male, female = ENDINGS[which]
         sound = lambda w, j: F.element_at(syllables, _byte(s, w * 4 + j) % len(SYLLABLES[which]) + 1)
         ending = lambda w: F.when(w > 0, "").when(gender == "male", male).when(gender == "female", female).otherwise("")
-        return F.array_join(F.transform(F.split(name, " "), lambda _, w: F.initcap(F.concat(sound(w, 0), sound(w, 1), sound(w, 2), sound(w, 3), ending(w)))), " ")
+        return F.array_join(F.transform(F.split(name, " "), lambda _, w: F.initcap(F.concat(sound(w, 0), sound(w, 1), sound(w, 2), sound(w, 3), F.when(wide, F.concat(*(sound(w, 64 + j) for j in range(4)))).otherwise(""), ending(w)))), " ")
 
     named = F.when(script == "cyrillic", word("cyrillic")).when(script == "greek", word("greek")).otherwise(word("latin"))
     return F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "secret", secret).when(kind == "phone", phone).when(kind == "card", card).when(kind == "name", named)

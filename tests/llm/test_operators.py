@@ -320,6 +320,18 @@ def test_colliding_surrogates_are_resolved(spark):
     assert raw.select("surrogate").distinct().count() < 300
 
 
+def test_surrogates_outgrow_a_full_format(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "de"])
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [("email", f"{a}{b}@{host}.org", None) for a in letters for b in letters for host in ("one", "two")]
+    names = [("name", f"Smith{c}", "male") for c in letters]
+    df = spark.createDataFrame(mails + names, "kind string, canon string, gender string")
+    got = pii.resolve(df, "key").collect()
+    assert len(got) == len({(r.kind, r.surrogate) for r in got}) == len(mails) + len(names)
+    assert all(r.surrogate.endswith("example.org") for r in got if r.kind == "email")
+    assert not {r.canon for r in got} & {r.surrogate for r in got}
+
+
 def test_toxicity_learns_and_locates(spark):
     rng = np.random.default_rng(17)
     words = [f"word{i}" for i in range(300)]
