@@ -1,11 +1,14 @@
 """Quality by weak labels: EM over heuristic labellers, then a hashed linear scorer on the posteriors.
 
-Eight labellers look at every document and vote keep, reject or nothing.  Spark counts the vote
-patterns of the whole corpus (at most 3**8 of them), and EM estimates from these counts how often
+One pass over the texts (`described`) takes every document's votes and its hashed features: nine
+labellers look at it and vote keep, reject or nothing.  Spark counts the vote
+patterns of the whole corpus (at most 3**9 of them), and EM estimates from these counts how often
 each labeller votes what on good and on bad documents, without any true label.  The posterior of a
-document's pattern is its label.  A logistic scorer on hashed features (shapes of chunks, binned
+document's pattern is its label.  A logistic scorer on the hashed features (shapes of chunks, binned
 figures of the document) is fitted to the posteriors of a bounded sample (`max_rows`, the smallest
-hashes of id and text) and scores every document.
+hashes of id and text) and scores every document.  Labellers and features read whole texts, at every
+length alike: a word is new or repeated within its window of WINDOW words, so the share of new ones
+does not fall with a text's length.
 
 Defined cases: null and empty texts get no votes and are kept (score of an empty feature vector
 under the rule below); equal texts score alike; an empty table gives no rows; extra columns stay in
@@ -24,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .words import LINE_END, Chunks, slices, sums
 
 NONE, KEEP, REJECT = 0, 1, 2
-LABELLERS = ("pipes", "symbols", "exclaims", "capitals", "same_lines", "few_words", "stop_words", "word_length")
+LABELLERS = ("pipes", "symbols", "exclaims", "capitals", "same_lines", "few_words", "stammer", "stop_words", "word_length")
 DIMENSIONS = 1 << 14
 MAX_ROWS = 8_000
+WINDOW = 500
 SYMBOLS = re.compile(r"[#$%&*~^=<>\\{}\[\]_@]{2,}")
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -40,13 +45,22 @@ STOP_WORDS = frozenset(
 )
 
 
+_SIGNS = {**dict.fromkeys(range(0xC0, 0xDF), "A"), **dict.fromkeys(range(0xDF, 0x250), "a"), **dict.fromkeys(range(65, 91), "A"), **dict.fromkeys(range(97, 123), "a"), **dict.fromkeys(range(48, 58), "0")}
+_RUNS = re.compile(r"(.)\1+", re.DOTALL)
+
+
 def shape(chunk: str) -> str:
-    """Runs of letters, capitals and digits as one sign each; other characters as they are."""
-    return re.sub(r"[a-zà-ɏ]+", "a", re.sub(r"[A-ZÀ-Þ]{2,}", "A", re.sub(r"\d+", "0", re.sub(r"[ß-öø-ÿ]", "a", chunk[:200]))))[:24]
+    """Runs of small letters, capitals and digits as one sign each; of other characters as one of them."""
+    return _RUNS.sub(r"\1", chunk.translate(_SIGNS))
+
+
+_PLAIN = zlib.crc32(b"a") % DIMENSIONS
 
 
 def describe(chunk: str) -> tuple:
     """Of a chunk: line end, pipe, symbols, exclamation, all capitals, stop word, length, hashed shape."""
+    if chunk.isascii() and chunk.isalpha() and chunk.islower():
+        return 0, 0, 0, 0, 0, chunk in STOP_WORDS, len(chunk), _PLAIN
     if chunk == LINE_END:
         return 1, 0, 0, 0, 0, 0, 0, 0
     word = chunk.strip(".,;:!?\"'()").lower()
@@ -58,6 +72,16 @@ def _vote(value: np.ndarray, keep, reject, heard=True) -> np.ndarray:
     return np.where(heard & reject(value), REJECT, np.where(heard & keep(value), KEEP, NONE))
 
 
+def new_words(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many chunks of each document are the first of their kind in their window of WINDOW chunks."""
+    lengths = np.diff(bounds)
+    document = np.repeat(np.arange(len(lengths)), lengths)
+    windows = -(-lengths // WINDOW)
+    window = (np.cumsum(windows) - windows)[document] + (np.arange(len(codes)) - bounds[:-1][document]) // WINDOW
+    first = np.unique(window << 32 | codes) >> 32
+    return np.bincount(np.searchsorted(np.cumsum(windows), first, side="right"), minlength=len(lengths))
+
+
 def figures(texts: list[str], cache: Chunks) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Votes (documents x labellers), shares behind them, and the chunks' hashed shapes with the bounds of each document."""
     codes, bounds = cache.rows(texts)
@@ -67,15 +91,18 @@ def figures(texts: list[str], cache: Chunks) -> tuple[np.ndarray, dict[str, np.n
     share = {k: sums(f[:, i], bounds) / each for i, k in ((1, "pipes"), (2, "symbols"), (3, "exclaims"), (4, "capitals"), (5, "stop_words"), (6, "word_length"))}
     lines = [[x for x in t.split("\n") if x.strip()] for t in texts]
     share["same_lines"] = np.asarray([1 - len(set(x)) / len(x) if x else 0.0 for x in lines])
-    share["few_words"] = np.asarray([len(np.unique(codes[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]) / np.maximum(np.diff(bounds), 1)
-    many, short = n >= 20, n <= 1000
-    any_words = n > 0
+    share["few_words"] = new_words(codes, bounds) / np.maximum(np.diff(bounds), 1)
+    again = np.append(codes[1:] == codes[:-1], False)
+    again[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = False  # what follows is another document
+    share["stammer"] = sums(again, bounds) / np.maximum(np.diff(bounds), 1)
+    many, any_words = n >= 20, n > 0
     votes = np.stack(
         [
             *(_vote(share[k], lambda x: x <= 0.01, lambda x: x >= 0.1, any_words) for k in ("pipes", "symbols", "exclaims")),
             _vote(share["capitals"], lambda x: x <= 0.1, lambda x: x >= 0.3, any_words),
             _vote(share["same_lines"], lambda x: x <= 0.1, lambda x: x >= 0.4, any_words),
-            _vote(share["few_words"], lambda x: x >= 0.5, lambda x: x < 0.25, many & short),
+            _vote(share["few_words"], lambda x: x >= 0.5, lambda x: x < 0.25, many),
+            _vote(share["stammer"], lambda x: x <= 0.05, lambda x: x >= 0.2, any_words),
             _vote(share["stop_words"], lambda x: x >= 0.12, lambda x: x < 0.05, many),
             _vote(share["word_length"], lambda x: (x >= 3.5) & (x <= 7), lambda x: x > 9, many),
         ],
@@ -127,34 +154,43 @@ def expectation_maximisation(pattern: np.ndarray, n: np.ndarray, labellers: int
     return model
 
 
-def _bins(share: dict[str, np.ndarray]) -> np.ndarray:
-    """A hashed feature for each document and figure, by tenths."""
-    scale = {"word_length": 0.05}
-    return np.stack([np.asarray([zlib.crc32(f"{k}:{int(min(10, 10 * x * scale.get(k, 1)))}".encode()) % DIMENSIONS for x in share[k]]) for k in LABELLERS], axis=1)
+_BINS = np.asarray([[zlib.crc32(f"{k}:{i}".encode()) % DIMENSIONS for i in range(11)] for k in LABELLERS])
+_SCALES = np.asarray([0.05 if k == "word_length" else 1.0 for k in LABELLERS])
 
 
-def _vectors(texts: list[str], cache: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pattern of each document, and its features as (document, bucket, value)."""
+def _vectors(texts: list[str], cache: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pattern of each document, its number of words, and its features as (document, bucket, value): shares of shapes, and a bucket for each figure by tenths."""
     votes, share, codes, bounds = figures(texts, cache)
     hashed = cache.figures[codes, 7].astype(np.int64)
-    document = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    value = (1 / np.maximum(np.diff(bounds), 1))[document]
-    bins = _bins(share)
-    document = np.concatenate([document, np.repeat(np.arange(len(texts)), bins.shape[1])])
-    return patterns(votes), document, np.concatenate([hashed, bins.ravel()]), np.concatenate([value, np.full(bins.size, 0.5)])
+    n, lengths = len(texts), np.diff(bounds)
+    document = np.repeat(np.arange(n), lengths)
+    each, at = np.unique(document * DIMENSIONS + hashed, return_inverse=True)
+    value = np.bincount(at, minlength=len(each)) / np.maximum(lengths, 1)[each // DIMENSIONS]
+    tenths = np.minimum(10, 10 * np.stack([share[k] for k in LABELLERS], axis=1) * _SCALES).astype(np.int64)
+    bins = _BINS[np.arange(len(LABELLERS)), tenths]
+    words = sums(cache.figures[codes, 0] == 0, bounds).astype(np.int64)
+    document = np.concatenate([each // DIMENSIONS, np.repeat(np.arange(n), bins.shape[1])])
+    return patterns(votes), words, document, np.concatenate([each % DIMENSIONS, bins.ravel()]), np.concatenate([value, np.full(bins.size, 0.5)])
 
 
-def vote_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
-    """pattern, n: how many documents of the whole table voted so."""
+def described(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, place (hash of id and text), pattern of votes, words, features (uint32 buckets) and values (float32) of every document; written once."""
+    kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Chunks(describe, 8)
         for batch in batches:
             for some in slices(batch):
-                p, n = np.unique(patterns(figures(some.column("text").to_pylist(), cache)[0]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n.astype(np.int64))], ["pattern", "n"])
+                p, words, document, feature, value = _vectors(some.column("text").to_pylist(), cache)
+                order = np.argsort(document, kind="stable")
+                cuts = np.cumsum(np.bincount(document, minlength=some.num_rows))[:-1]
+                features = [x.tobytes() for x in np.split(feature[order].astype("<u4"), cuts)]
+                values = [x.tobytes() for x in np.split(value[order].astype("<f4"), cuts)]
+                columns = [some.column("id"), some.column("place"), pa.array(p), pa.array(words), pa.array(features, pa.binary()), pa.array(values, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "place", "pattern", "words", "features", "values"])
 
-    return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("place"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return stored(rows.mapInArrow(run, f"id {kind}, place long, pattern long, words long, features binary, values binary"), "quality")
 
 
 @dataclass
@@ -163,40 +199,28 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
+    def good(self, document: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        z = self.bias + np.bincount(document, self.weights[feature] * value, minlength=n)
+        return 1 / (1 + np.exp(np.clip(z, -500, 500)))
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, steps: int = 200) -> Scorer:
-    """EM over the vote patterns of all documents; the scorer from the posteriors of at most max_rows of them."""
-    counts = vote_patterns(docs, text).toPandas()
+
+def _flat(features: list[bytes], values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    document = np.repeat(np.arange(len(features)), [len(x) // 4 for x in features])
+    return document, np.frombuffer(b"".join(features), dtype="<u4").astype(np.int64), np.frombuffer(b"".join(values), dtype="<f4").astype(float)
+
+
+def train(found: DataFrame, max_rows: int = MAX_ROWS, steps: int = 200) -> Scorer:
+    """From `described` documents: EM over the vote patterns of all, and the scorer from the posteriors of at most max_rows of them."""
+    counts = found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()
     if counts.empty:
         return Scorer(WeakModel(0.5, np.full((2, len(LABELLERS), 2), 0.5)), np.zeros(DIMENSIONS), 0.0)
     weak = expectation_maximisation(counts["pattern"].to_numpy(), counts["n"].to_numpy(dtype=float))
-    place = F.xxhash64(key, F.octet_length(text))
-    total, share = int(counts["n"].sum()), 2**64
-    bound = min(2**63 - 1, int(share * min(1.0, 1.2 * max_rows / total)) - 2**63)
-    # ids alone are sorted; a sample larger than asked for is cut to its bound
-    sample = docs.filter(place <= bound).select(place.alias("place")).orderBy("place").limit(max_rows)
-    last = sample.agg(F.max("place")).first()[0]
-    chosen = docs.filter(place <= (bound if last is None else last)).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Chunks(describe, 8)
-        for batch in batches:
-            for some in slices(batch):
-                p, document, feature, value = _vectors(some.column("text").to_pylist(), cache)
-                features, values = [], []
-                for i in range(some.num_rows):
-                    mine = document == i
-                    used, at = np.unique(feature[mine], return_inverse=True)
-                    features.append(used.astype("<u4").tobytes())
-                    values.append(np.bincount(at, value[mine]).astype("<f4").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(features, pa.binary()), pa.array(values, pa.binary())], ["pattern", "features", "values"])
-
-    rows = chosen.mapInArrow(run, "pattern long, features binary, values binary").limit(max_rows).toPandas()
+    # the smallest hashes; ids alone are sorted, of at most 1.2 times as many rows as are asked for
+    bound = min(2**63 - 1, int(2**64 * min(1.0, 1.2 * max_rows / int(counts["n"].sum()))) - 2**63)
+    last = found.filter(F.col("place") <= bound).select("place").orderBy("place").limit(max_rows).agg(F.max("place")).first()[0]
+    rows = found.filter(F.col("place") <= (bound if last is None else last)).select("pattern", "features", "values").limit(max_rows).toPandas()
     target = weak.bad(rows["pattern"].to_numpy())
-    feature = [np.frombuffer(x, dtype="<u4") for x in rows["features"]]
-    document = np.repeat(np.arange(len(rows)), [len(x) for x in feature])
-    order = np.concatenate(feature).astype(np.int64)
-    value = np.concatenate([np.frombuffer(x, dtype="<f4") for x in rows["values"]]).astype(float)
+    document, order, value = _flat(rows["features"].tolist(), rows["values"].tolist())
     w, bias = np.zeros(DIMENSIONS), 0.0
     m, v = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for step in range(1, steps + 1):
@@ -209,34 +233,33 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_rows: in
     return Scorer(weak, w, float(bias))
 
 
-def _scored(docs: DataFrame, scorer: Scorer, text: str, columns: list[str], only_good: bool, threshold: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
+def score(found: DataFrame, scorer: Scorer, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """Of `described` documents: key, score (probability that the text is good), keep, posterior (of its votes alone)."""
+    shared = found.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, Chunks(describe, 8)
+        model = shared.value
         for batch in batches:
-            for some in slices(batch):
-                texts = some.column("__text").to_pylist()
-                p, document, feature, value = _vectors(texts, cache)
-                z = model.bias + np.bincount(document, model.weights[feature] * value, minlength=len(texts))
-                good = 1 / (1 + np.exp(np.clip(z, -500, 500)))
-                keep = (good >= threshold) | np.asarray([not t.strip() for t in texts])
-                out = [some.column(c) for c in columns]
-                if only_good:
-                    yield pa.RecordBatch.from_arrays(out, columns).filter(pa.array(keep))
-                else:
-                    yield pa.RecordBatch.from_arrays([*out, pa.array(good), pa.array(keep), pa.array(1 - model.weak.bad(p))], [*columns, "__score", "__keep", "__posterior"])
+            document, feature, value = _flat(batch.column("features").to_pylist(), batch.column("values").to_pylist())
+            good = model.good(document, feature, value, batch.num_rows)
+            keep = (good >= threshold) | (batch.column("words").to_numpy() == 0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(good), pa.array(keep), pa.array(1 - model.weak.bad(batch.column("pattern").to_numpy()))], ["id", "score", "keep", "posterior"])
 
-    rows = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    return rows.mapInArrow(run, schema if only_good else f"{schema}, __score double, __keep boolean, __posterior double")
+    kind = dict(found.dtypes)["id"]
+    return found.mapInArrow(run, f"id {kind}, score double, keep boolean, posterior double").withColumnRenamed("id", key)
 
 
-def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """key, score (probability that the text is good), keep, posterior (of its votes alone)."""
-    return _scored(docs, scorer, text, [key], False, threshold).withColumnsRenamed({"__score": "score", "__keep": "keep", "__posterior": "posterior"})
+def keep_good(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows that are not rejected, columns as they were; texts are read again, so no second copy of them is written."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    names = docs.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, cache = shared.value, Chunks(describe, 8)
+        for batch in batches:
+            for some in slices(batch):
+                texts = [t or "" for t in some.column(names.index(text)).to_pylist()]
+                _, words, document, feature, value = _vectors(texts, cache)
+                yield some.filter(pa.array((model.good(document, feature, value.astype("<f4"), len(texts)) >= threshold) | (words == 0)))
 
-def keep_good(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows that are not rejected, columns as they were."""
-    return _scored(docs, scorer, text, docs.columns, True, threshold)
+    return docs.mapInArrow(run, docs.schema)

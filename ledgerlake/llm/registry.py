@@ -46,8 +46,8 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.train(docs))
+    found = quality.described(table(spark, sf_dir, "documents"))
+    return quality.score(found, quality.train(found))
 
 
 def op7_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -35,7 +36,7 @@ class Chunks(dict):
         self.trim()
         split = [t.replace("\n", f" {LINE_END} ").split() for t in texts]
         lengths = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        codes = np.fromiter((self[c] for s in split for c in s), dtype=np.int64, count=int(lengths.sum()))
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(lengths.sum()))
         return codes, np.concatenate([[0], np.cumsum(lengths)])
 
 

@@ -394,15 +394,16 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     junk = [lambda: " | ".join(rng.choice(vocabulary, 60)), lambda: " ".join(w + "$$$" for w in rng.choice(vocabulary, 60)), lambda: " ".join(w.upper() + "!!" for w in rng.choice(vocabulary, 60)), lambda: "\n".join([clean()[:60]] * 30)]
     rows = [(i, clean() if i % 4 else junk[i // 4 % 4]()) for i in range(400)] + [(1000, None), (1001, ""), (None, clean())]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string")
-    model = quality.train(docs)
-    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    found = quality.described(docs)
+    model = quality.train(found)
+    got = {r.doc_id: r for r in quality.score(found, model).collect()}
     assert all(got[i].keep for i in range(400) if i % 4) and got[1000].keep and got[1001].keep and got[None].keep
     assert np.mean([got[i].keep for i in range(0, 400, 4)]) < 0.1
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(r.keep for r in got.values())
 
 
-@pytest.mark.parametrize("run", [lambda d: exact_dedup.exact_groups(d), lambda d: exact_dedup.drop_copies(d), lambda d: sharding.shard_rows(d, 4), lambda d: bpe.encode_texts(d, tokenizer_path("byte_bpe_50k.json")), lambda d: packing.pack(d, tokenizer_path("word_bpe_49k.json")), lambda d: repeats.remove_repeats(d), lambda d: near_dedup.near_duplicates(d), lambda d: pii.replace_entities(d, "k"), lambda d: quality.score(d, quality.train(d)), lambda d: quality.keep_good(d, quality.train(d)), lambda d: toxicity.score(d, toxicity.train(d, d.select("doc_id", F.lit(1).alias("toxic"))))])
+@pytest.mark.parametrize("run", [lambda d: exact_dedup.exact_groups(d), lambda d: exact_dedup.drop_copies(d), lambda d: sharding.shard_rows(d, 4), lambda d: bpe.encode_texts(d, tokenizer_path("byte_bpe_50k.json")), lambda d: packing.pack(d, tokenizer_path("word_bpe_49k.json")), lambda d: repeats.remove_repeats(d), lambda d: near_dedup.near_duplicates(d), lambda d: pii.replace_entities(d, "k"), lambda d: quality.score(f := quality.described(d), quality.train(f)), lambda d: quality.keep_good(d, quality.train(quality.described(d))), lambda d: toxicity.score(d, toxicity.train(d, d.select("doc_id", F.lit(1).alias("toxic"))))])
 def test_empty_tables(none, run):
     assert run(none).count() == 0
 
@@ -410,6 +411,7 @@ def test_empty_tables(none, run):
 def test_odd_rows_do_not_break(docs):
     n = len(TEXTS)
     assert pii.replace_entities(docs, "k").count() == n
-    assert quality.score(docs, quality.train(docs)).count() == n
+    found = quality.described(docs)
+    assert quality.score(found, quality.train(found)).count() == n
     assert repeats.remove_repeats(docs).count() == n
     assert toxicity.score(docs, toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))).count() == n
