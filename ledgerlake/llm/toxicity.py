@@ -36,6 +36,7 @@ DIMENSIONS = 1 << 18
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 MAX_ROWS = 4_000
+BROADCAST_LABELS = 1_000_000
 BEGINNINGS = range(4, 8)
 LEAST_RATIO = 14.0
 PRIOR = 0.05
@@ -148,7 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     there = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     ordered = [known.filter(F.col("y") == v).orderBy(F.xxhash64(key), key).limit(max_rows) for v in (0, 1)]
     chosen = docs.select(key, text).join(F.broadcast(ordered[0].unionByName(ordered[1])), key)
-    counts = feature_counts(docs.select(key, text).join(known, key), text).toPandas().sort_values("bucket")
+    # ids and labels of up to BROADCAST_LABELS documents (about 16 MB) are broadcast, so that no text moves; more are joined by a shuffle
+    marks = F.broadcast(known) if sum(there.values()) <= BROADCAST_LABELS else known.hint("merge")
+    counts = feature_counts(docs.select(key, text).join(marks, key), text).toPandas().sort_values("bucket")
     whole = counts["bucket"] == -1
     nb, na = (int(counts.loc[whole, c].sum()) for c in ("clean", "toxic"))
     if not na or not nb:
