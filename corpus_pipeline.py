@@ -18,7 +18,7 @@ from ledgerlake.llm.registry import SURROGATE_KEY, tokenizer_path
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier does not reject."""
     ship(spark)
-    return quality.keep_good(docs, quality.train(docs))
+    return quality.keep_good(docs, quality.train(quality.described(docs)))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
