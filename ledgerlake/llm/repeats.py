@@ -2,7 +2,8 @@
 
 Equal strings of `length` bytes share the smallest hash of the `anchor`-byte windows inside them.  So
 the corpus is cut by these minima: each run of string starts with one minimum is a cut, and each
-start lies in one cut alone.  Strings can only repeat between cuts of one minimum:
+start lies in one cut alone.  A run of more than CUT_STARTS starts (periodic text) is several cuts, so no
+cut has more than CUT_STARTS + length bytes.  Strings can only repeat between cuts of one minimum:
 
 * equal cuts are counted (by digest, pre-aggregated where they lie): two of them mean that all of
   their strings repeat;
@@ -40,6 +41,7 @@ ANCHOR = 128
 SEED = np.uint64(0x9E3779B97F4A7C15)
 GROUP_BYTES = 1 << 20
 MOST_CUTS = 1_000
+CUT_STARTS = 4_096
 
 
 # ---- rolling hashes and minimisers ---------------------------------------------------------------
@@ -95,7 +97,13 @@ def cut_text(text: bytes, length: int, anchor: int) -> tuple[np.ndarray, np.ndar
     if not len(minima):
         return minima, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), []
     first = np.flatnonzero(np.concatenate([[True], minima[1:] != minima[:-1]]))
-    minima, end = minima[first], np.append(first[1:], len(minima)) + length - 1
+    stop = np.append(first[1:], len(minima))
+    parts = -(-(stop - first) // CUT_STARTS)
+    if parts.max() > 1:
+        run = np.repeat(np.arange(len(first)), parts)
+        first, stop = first[run] + (np.arange(len(run)) - (np.cumsum(parts) - parts)[run]) * CUT_STARTS, stop[run]
+        stop = np.minimum(stop, first + CUT_STARTS)
+    minima, end = minima[first], stop + length - 1
     twice = [np.count_nonzero(hashes[a : b - anchor + 1] == x) > 1 for x, a, b in zip(minima, first.tolist(), end.tolist(), strict=True)]
     return minima, first, end, twice
 

@@ -156,8 +156,9 @@ def covered(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most_cuts", [1_000, 1])
-def test_repeats_against_brute_force(spark, docs, most_cuts):
+@pytest.mark.parametrize(("most_cuts", "cut_starts"), [(1_000, 4_096), (1, 4_096), (1_000, 7)])
+def test_repeats_against_brute_force(spark, docs, monkeypatch, most_cuts, cut_starts):
+    monkeypatch.setattr(repeats, "CUT_STARTS", cut_starts)
     rng = np.random.default_rng(5)
     word = lambda n: "".join(rng.choice(list("abcdé 🙂"), n))
     shared = [word(60) for _ in range(4)]
@@ -172,6 +173,16 @@ def test_repeats_against_brute_force(spark, docs, most_cuts):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
 
 
+@pytest.mark.parametrize("period", [1, 2, 10, 97, 300])
+def test_cuts_of_periodic_text_are_bounded(period):
+    rng = np.random.default_rng(period)
+    text = bytes(rng.integers(97, 123, period).astype(np.uint8)) * (1_000_000 // period)
+    _, lo, hi, twice = repeats.cut_text(text, 400, 128)
+    assert (hi - lo).max() <= repeats.CUT_STARTS + 400 and lo[0] == 0 and hi[-1] == len(text)
+    assert (lo[1:] == hi[:-1] - 399).all()  # every start lies in one cut
+    assert len({text[a:b] for a, b in zip(lo, hi)}) <= 2 * period + 2
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -210,14 +221,21 @@ def test_near_duplicates(spark, docs):
             rows.append((g * 10 + c, " ".join(edited(rng, base, 4 if c else 0))))
     for i in range(40):  # unlike texts that share a passage
         rows.append((1000 + i, " ".join([*line, *(f"u{x}" for x in rng.integers(0, 10**6, 14))])))
-    rows += [(2000, None), (2001, ""), (2002, "one"), (2003, "one"), (None, "no id"), (0, rows[0][1])]
+    rows += [(2000, None), (2001, ""), (2002, "one"), (2003, "one")]
     got = {r.doc_id: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i].class_id == group[i] * 10 for i in group)
     assert all(got[1000 + i].class_size == 1 for i in range(40))
     assert got[2001].class_id == 2000 and got[2003].class_id == 2002 and got[2003].n_links == 0
-    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in near_dedup.one_of_each(spark.createDataFrame(rows[:-1], "doc_id long, text string")).collect())
-    assert len(kept) == 6 + 40 + 2 + 1
-    assert near_dedup.near_duplicates(docs).count() == len({i for i, _ in TEXTS if i is not None})
+    kept = sorted(r.doc_id for r in near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted([*(10 * g for g in range(6)), *range(1000, 1040), 2000, 2002])
+    # ids that are null or repeat with other texts
+    odd = [*rows, (None, "no id"), (None, rows[7][1]), (0, "quite another text"), (0, rows[0][1])]
+    df = spark.createDataFrame(odd, "doc_id long, text string")
+    found = [(r.doc_id, r.class_id, r.class_size) for r in near_dedup.near_duplicates(df).collect()]
+    assert len(found) == len(odd) and found.count((0, 0, 6)) == 2 and (0, 0, 1) in found and (None, None, 1) in found and (None, 10, 6) in found
+    kept = [(r.doc_id, r.text) for r in near_dedup.one_of_each(df).collect()]
+    assert (None, "no id") in kept and (0, "quite another text") in kept and (None, rows[7][1]) not in kept and len(kept) == 6 + 40 + 2 + 2 + 1
+    assert near_dedup.near_duplicates(docs).count() == len(TEXTS)
 
 
 @pytest.mark.parametrize(("n", "edits"), [(5, 1), (10, 2), (15, 2), (15, 3), (30, 6), (80, 16), (100, 15), (100, 20), (400, 80)])
