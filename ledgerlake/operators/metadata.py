@@ -52,11 +52,11 @@ def search(index: DataFrame, key: str, q: str) -> DataFrame:
 
 
 def highlight(text: Column, q: str) -> Column:
-    """Matched words between <b> and </b>."""
-    out = text
-    for t in query_terms(q):
-        out = F.regexp_replace(out, rf"(?i)(?<![\p{{L}}\p{{N}}])({t})(?![\p{{L}}\p{{N}}])", "<b>$1</b>")
-    return out
+    """Matched words between <b> and </b>; all terms in one pass, so none matches inside the marks of another."""
+    terms = sorted(query_terms(q), key=lambda t: (-len(t), t))
+    if not terms:
+        return text
+    return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(terms)})(?![\p{{L}}\p{{N}}])", "<b>$1</b>")
 
 
 def search_assets(versions: DataFrame, q: str, tag: str | None = None, owner: str | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ class NullCheck:
 
 @dataclass(frozen=True)
 class RangeCheck:
-    """Fails if the smallest value is under low, else if the largest is over high; no values count as 0."""
+    """Fails if the smallest value is under low, else if the largest is over high; no values count as 0, and values that are no numbers are an error."""
 
     column: str
     low: float
@@ -45,12 +45,17 @@ class RangeCheck:
         return f"{self.kind}_{self.column}"
 
     def aggregates(self) -> list[Column]:
-        return [F.coalesce(f(self.column).cast("double"), F.lit(0.0)) for f in (F.min, F.max)]
+        number = F.col(self.column).try_cast("double")
+        return [F.coalesce(F.min(number), F.lit(0.0)), F.coalesce(F.max(number), F.lit(0.0)), F.count_if(F.col(self.column).isNotNull() & number.isNull())]
 
     def verdict(self, got: list[Column]) -> tuple[Column, Column, Column]:
-        low, high = got
+        low, high, odd = got
         under, over = low < self.low, high > self.high
-        return F.when(under | over, FAILED).otherwise(PASSED), F.when(under, low).otherwise(high), F.when(under, float(self.low)).otherwise(float(self.high))
+        measured, threshold = F.when(under, low).otherwise(high), F.when(under, float(self.low)).otherwise(float(self.high))
+        return F.when(odd > 0, ERROR).when(under | over, FAILED).otherwise(PASSED), F.when(odd == 0, measured), F.when(odd == 0, threshold)
+
+    def error(self, got: list[Column]) -> Column:
+        return F.when(got[2] > 0, F.concat(got[2].cast("string"), F.lit(f" values of {self.column} are no numbers")))
 
 
 def equals_zero(value: Column) -> Column:
@@ -95,34 +100,37 @@ def _fused(df: DataFrame, rules: list, keys: list[str]) -> DataFrame:
     grouped = df.groupBy(*keys).agg(*columns)
     rows = []
     for r, names in wanted:
-        status, measured, threshold = r.verdict([F.col(n) for n in names])
-        rows.append(F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.kind).alias("rule_type"), status.alias("status"), measured.cast("double").alias("measured_value"), threshold.cast("double").alias("threshold")))
+        got = [F.col(n) for n in names]
+        status, measured, threshold = r.verdict(got)
+        error = r.error(got) if hasattr(r, "error") else F.lit(None)
+        rows.append(F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.kind).alias("rule_type"), status.alias("status"), measured.cast("double").alias("measured_value"), threshold.cast("double").alias("threshold"), error.cast("string").alias("error")))
     return grouped.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
 
 
 def evaluate(df: DataFrame, rules: list, run_id: str) -> DataFrame:
-    """A result row for each rule.  Rules that aggregate share one scan; a rule that cannot be run gives a row with its error."""
-    spark, parts = df.sparkSession, []
-
-    def broken(rule, e: Exception) -> DataFrame:
-        return spark.createDataFrame([(run_id, rule.name, rule.kind, ERROR, None, None, str(e).splitlines()[0])], RESULT)
+    """A result row for each rule.
 
-    fit = []
+    Null and range checks share one scan, which runs when the result is read; they cannot fail on data.  Each
+    assertion, and each aggregating rule of a caller's own, is run here by itself: one that cannot be analysed
+    or fails at run time gives a row with its error, and the others are not touched by it.
+    """
+    spark, fit, rows = df.sparkSession, [], []
     for rule in rules:
         try:
-            if hasattr(rule, "aggregates"):
+            if isinstance(rule, (NullCheck, RangeCheck)):
                 df.agg(*rule.aggregates())  # is analysed, not run
                 fit.append(rule)
+            elif hasattr(rule, "aggregates"):
+                rows.append((run_id, *_fused(df, [rule], []).first()))
             else:
-                parts.append(rule.result(df).select(F.lit(run_id).alias("run_id"), F.lit(rule.name).alias("rule_name"), F.lit(rule.kind).alias("rule_type"), "status", "measured_value", "threshold", F.lit(None).cast("string").alias("error")))
+                rows.append((run_id, rule.name, rule.kind, *rule.result(df).select("status", "measured_value", "threshold").first(), None))
         except Exception as e:
-            parts.append(broken(rule, e))
-    if fit:
-        parts.insert(0, _fused(df, fit, []).select(F.lit(run_id).alias("run_id"), "*", F.lit(None).cast("string").alias("error")))
-    out = parts[0] if parts else spark.createDataFrame([], RESULT)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            rows.append((run_id, rule.name, rule.kind, ERROR, None, None, str(e).splitlines()[0]))
+    known = spark.createDataFrame(rows, RESULT)
+    if not fit:
+        return known
+    fused = _fused(df, fit, []).select(F.lit(run_id).alias("run_id"), "*")
+    return fused.unionByName(known) if rows else fused
 
 
 def evaluate_by(df: DataFrame, rules: list, keys: list[str]) -> DataFrame:

@@ -103,12 +103,17 @@ def reassign(reviews: DataFrame, changes: DataFrame) -> DataFrame:
     return both.withColumn("roles", F.when(takes, F.array_distinct("new_roles")).otherwise(F.col("roles"))).select(*reviews.columns)
 
 
+BROADCAST_RULES = 10_000
+
+
 def route(events: DataFrame, rules: DataFrame) -> DataFrame:
     """events with the channel of every rule (pattern, channel) that matches: *, an exact type, or prefix.*
 
-    Each event is asked under the few patterns that can match it, so the join is one on equality.
+    Each event is asked under the few patterns that can match it, so the join is one on equality.  Every event
+    has the key *, so up to BROADCAST_RULES rules are broadcast; more are joined by a shuffle.
     """
     parts = F.split("event_type", r"\.")
     prefixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.concat_ws(".", F.slice(parts, 1, n)), F.lit(".*")))).otherwise(F.array().cast("array<string>"))
     asked = F.array_distinct(F.concat(F.array(F.lit("*"), F.col("event_type")), prefixes))
-    return events.withColumn("pattern", F.explode(asked)).join(rules, "pattern")
+    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    return events.withColumn("pattern", F.explode(asked)).join(F.broadcast(rules) if few else rules, "pattern")

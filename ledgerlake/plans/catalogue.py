@@ -271,6 +271,13 @@ def quality_suite(spark, sf):
     return quality.evaluate(base(spark, sf, "lineitem"), rules, "r").select("rule_name", "status")
 
 
+@query("""SELECT 'range_check_l_returnflag' AS rule_name, 'error' AS status, NULL::DOUBLE AS measured_value UNION ALL SELECT 'by_nothing', 'error', NULL
+          UNION ALL SELECT 'range_check_l_tax', CASE WHEN min(l_tax) < 0 OR max(l_tax) > 0.05 THEN 'failed' ELSE 'passed' END, CASE WHEN min(l_tax) < 0 THEN min(l_tax) ELSE max(l_tax) END FROM lineitem""")
+def quality_errors(spark, sf):
+    rules = [quality.RangeCheck("l_returnflag", 0, 1), quality.SQLAssertion("by_nothing", "SELECT sum(l_linenumber) DIV (count(*) - count(*)) FROM ${asset}", quality.equals_zero), quality.RangeCheck("l_tax", 0, 0.05)]
+    return quality.evaluate(base(spark, sf, "lineitem"), rules, "r").select("rule_name", "status", "measured_value")
+
+
 @query("""SELECT l_returnflag, l_linestatus, CASE WHEN max(l_discount) > 0.05 THEN 'failed' ELSE 'passed' END AS status, max(l_discount) AS measured_value FROM lineitem GROUP BY ALL""")
 def quality_by_partition(spark, sf):
     return quality.evaluate_by(base(spark, sf, "lineitem"), [quality.RangeCheck("l_discount", 0, 0.05)], ["l_returnflag", "l_linestatus"]).select("l_returnflag", "l_linestatus", "status", "measured_value")
@@ -589,7 +596,7 @@ def fired_keys(spark, sf):
     return base(spark, sf, "events").select("event_id", *(fired_partition_key(F.col("ts"), s).alias(n) for n, s in (("day", "daily"), ("week", "weekly"), ("month", "monthly"))))
 
 
-_SPANS = "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate + INTERVAL '40' DAY AS DATE) AS b FROM orders WHERE o_orderkey % 20 = 0"
+_SPANS = "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate + INTERVAL '40' DAY AS DATE) AS b FROM orders"
 
 
 @query(f"""WITH s AS ({_SPANS}) SELECT o_orderkey, strftime(d, '%G-W%V') AS partition_key FROM s, LATERAL (SELECT unnest(generate_series(date_trunc('week', a), b::TIMESTAMP, INTERVAL 7 DAY)) AS d)
@@ -618,7 +625,7 @@ def backfill_status(spark, sf):
     return runs.backfill_status(fixture(spark, sf, "fx_runs"))
 
 
-_WANTED = "SELECT event_id % 20 AS backfill_id, concat('asset_', CAST(user_id % 40 AS VARCHAR(20))) AS asset, CAST(CAST(ts AS DATE) AS VARCHAR(20)) AS partition_key FROM events WHERE event_id % 4 = 0"
+_WANTED = "SELECT event_id % 20 AS backfill_id, concat('asset_', CAST(user_id % 40 AS VARCHAR(20))) AS asset, CAST(CAST(ts AS DATE) AS VARCHAR(20)) AS partition_key FROM events"
 
 
 @query(f"""WITH w AS (SELECT DISTINCT * FROM ({_WANTED})), b AS (SELECT DISTINCT asset_name AS asset, partition_date::VARCHAR AS partition_key FROM fx_runs WHERE state IN ('queued', 'starting', 'running'))
@@ -695,7 +702,7 @@ def synced_triggers(spark, sf):
     return runs.sync_triggers(there, t.filter("s_suppkey % 2 = 0"), now()).select("asset", "name", "interval_seconds", (F.col("updated_at") == now()).alias("changed"))
 
 
-_TOKENS = "SELECT event_type AS tag, CAST(1 + event_id % 3 AS INT) AS weight FROM events WHERE event_id % 5 = 0"
+_TOKENS = "SELECT event_type AS tag, CAST(1 + event_id % 3 AS INT) AS weight FROM events"
 
 
 @query(f"WITH t AS ({_TOKENS}), c AS (SELECT DISTINCT event_type AS tag, 1000::BIGINT AS capacity FROM events) SELECT tag, coalesce(sum(weight), 0)::BIGINT AS used, capacity, (capacity - coalesce(sum(weight), 0))::BIGINT AS free FROM c LEFT JOIN t USING (tag) GROUP BY tag, capacity")
@@ -741,7 +748,7 @@ def reviewer_roles(spark, sf):
     return reviews.reviewer_pool(defs, tags, owners).select("asset", ordered("roles"), ordered("source"))
 
 
-_REVIEWS = "SELECT event_id AS review_id, ts AS submitted_at, CASE WHEN event_type IN ('click', 'view') THEN ts + INTERVAL '5' HOUR END AS decided_at, concat('owner', CAST(user_id % 4 AS VARCHAR(20))) AS owner FROM events WHERE event_id % 10 = 1"
+_REVIEWS = "SELECT event_id AS review_id, ts AS submitted_at, CASE WHEN event_type IN ('click', 'view') THEN ts + INTERVAL '5' HOUR END AS decided_at, concat('owner', CAST(user_id % 4 AS VARCHAR(20))) AS owner FROM events"
 
 
 @query(f"WITH r AS ({_REVIEWS}) SELECT review_id, concat_ws(',', 'stewards', CASE WHEN owner <> 'owner3' THEN owner || '-team' END, 'cdo') AS recipients FROM r WHERE decided_at IS NULL AND submitted_at + INTERVAL 48 HOUR < TIMESTAMP '2024-01-20 00:00:00'")

@@ -58,7 +58,7 @@ FIXTURES = {
         SELECT concat('asset_', CAST(s_suppkey % 40 AS VARCHAR(20))) AS asset_name, s_suppkey AS schedule_id, 3600 * (1 + s_suppkey % 48) AS max_lag_seconds, TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM supplier""",
     "fx_votes": """
         SELECT user_id % 200 AS review_id, event_id AS vote_id, user_id % 17 AS submitter_id, event_id % 17 AS decider_id, CASE WHEN event_type = 'error' THEN 'reject' ELSE 'approve' END AS vote,
-               1 + user_id % 3 AS quorum, ts AS voted_at FROM events WHERE event_id % 10 = 0""",
+               1 + user_id % 3 AS quorum, ts AS voted_at FROM events""",
     "fx_sensor_evals": """
         SELECT concat('sensor_', CAST(user_id % 20 AS VARCHAR(20))) AS sensor, event_id, ts, event_type IN ('click', 'purchase') AS fired,
                CASE WHEN event_type IN ('click', 'purchase') THEN CAST(CAST(ts AS DATE) AS VARCHAR(20)) END AS run_key, event_type = 'error' AS errored FROM events""",

@@ -212,3 +212,16 @@ def test_assets(spark, tmp_path):
         assets.AssetBuilder("bad name!").build()
     with pytest.raises(ValueError):
         files.read_jdbc(spark, "jdbc:x", "t; drop table t")
+
+
+def test_rules_that_fail_at_run_time_leave_the_others_alone(spark):
+    df = spark.createDataFrame([("a", 1), ("2", 3), (None, None)], "t string, v int")
+    rules = [quality.RangeCheck("t", 0, 5), quality.RangeCheck("v", 0, 5), quality.SQLAssertion("z", "SELECT 1 DIV 0", quality.equals_zero), quality.NullCheck("v", 0.5)]
+    got = quality.evaluate(df, rules, "r").collect()
+    assert {r.rule_name: r.status for r in got} == {"range_check_t": "error", "range_check_v": "passed", "z": "error", "null_check_v": "passed"}
+    assert got[0].error == "1 values of t are no numbers" and got[0].measured_value is None and any("ZERO" in (r.error or "").upper() for r in got)
+
+
+def test_highlight_marks_words_only(spark):
+    df = spark.createDataFrame([("a bold b and B",)], "t string")
+    assert df.select(metadata.highlight(F.col("t"), "bold b")).first()[0] == "a <b>bold</b> <b>b</b> and <b>B</b>"
