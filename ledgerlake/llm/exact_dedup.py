@@ -65,7 +65,8 @@ def double_directory(cells: DataFrame, capacity: int) -> DataFrame:
     children = overfull.select("d", F.explode(F.array(F.col("parent") * 2, F.col("parent") * 2 + 1)).alias("p"))
     root = cells.sparkSession.range(1).select(F.lit(0).alias("d"), F.lit(0).cast("long").alias("p"))
     split = overfull.select((F.col("d") - 1).alias("d"), F.col("parent").alias("p"))
-    return root.unionByName(children).join(split, ["d", "p"], "left_anti")
+    both = root.unionByName(children).withColumn("split", F.lit(False)).unionByName(split.withColumn("split", F.lit(True)))
+    return both.groupBy("d", "p").agg(F.bool_or("split").alias("split")).filter(~F.col("split")).select("d", "p")
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 4096, hash_bits: int = 64) -> ExtendibleIndex:
