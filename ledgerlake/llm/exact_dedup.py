@@ -1,13 +1,18 @@
 """Exact dedup by an extendible-hash index on shared files, in DataFrame functions only.
 
-Build: rows are pre-aggregated by (64-bit hash, normalised bytes), which compares whole texts byte by
-byte, so what shuffles is one row a distinct text and task.  The directory starts at depth 0 and
-doubles while a bucket holds more entries than its capacity; only overfull buckets split, so buckets
-have local depths.  The entries are then dealt to owner tasks by range of (bucket, hash), where
-entries of one hash are chained, and written to the folder that driver and executors share.
+Directory: rows are counted by 64-bit hash, and from the counts the directory starts at depth 0 and
+doubles while a bucket holds more hashes than its capacity; only overfull buckets split, so buckets
+have local depths.
 
-Probe: a row's hash prefix gives its directory slot, the slot its bucket, and (bucket, hash, digest)
-its entry in the chain.  Entries that hold a large share of the rows are dealt over many tasks.
+Insert: every row's hash prefix gives its directory slot and the slot its bucket.  Rows go to owner
+tasks by range of hash (the first OWNER_BITS bits), where texts of one hash are compared byte by byte
+and chained; keep_id and group_size are the entry's.  Hashes that hold a large share of the rows, of
+which there can be HEAVY_SHARE at most, are aggregated in their tasks first, so that one entry of
+each task moves.  Entries are written to the folder that driver and executors share.
+
+Probe: a row finds its bucket through the directory, and (bucket, hash, digest) its entry in the
+chain; no two entries share a digest, which is checked.  Entries that hold a large share of the rows
+are dealt over many tasks.
 
 Defined cases: null and empty texts are equal; of equal texts the largest doc_id stays (nulls only
 if there is nothing else); rows that repeat a doc_id and its text are one record and share `kept`;
@@ -22,10 +27,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, stored
+from .common import HEAVY_SHARE, spread_join, stored
 
 # The directory has at most 2**MAX_DEPTH slots, which bounds its broadcast (1 MB).
 MAX_DEPTH = 16
+# An owner's range of keys is 2**-OWNER_BITS of all hashes; AQE merges small ranges into one task.
+OWNER_BITS = 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -70,21 +77,28 @@ def double_directory(cells: DataFrame, capacity: int) -> DataFrame:
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 4096, hash_bits: int = 64) -> ExtendibleIndex:
-    found = _keyed(docs, key, text, hash_bits).groupBy("h", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    log = stored(found.select("h", F.sha2("norm", 256).alias("digest"), "keep_id", "group_size"), "dedup-log")
-    n, total = log.agg(F.count(F.lit(1)), F.coalesce(F.sum("group_size"), F.lit(0))).first()
+    keyed = _keyed(docs, key, text, hash_bits)
+    hashes = stored(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("rows")), "dedup-hashes")
+    n, total = hashes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     # Texts beyond 2**13 bucketfuls make the buckets larger, so that the directory stays within its bound.
     capacity = max(capacity, -(-n // 2 ** (MAX_DEPTH - 3)))
-    cells = log.groupBy(F.shiftrightunsigned("h", 64 - MAX_DEPTH).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    cells = hashes.groupBy(F.shiftrightunsigned("h", 64 - MAX_DEPTH).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     buckets = stored(double_directory(cells, capacity), "dedup-buckets")
     depth = buckets.agg(F.max("d")).first()[0]
     span = F.expr(f"shiftleft(cast(1 as bigint), {depth} - d)")
     directory = buckets.select(F.explode(F.sequence(F.col("p") * span, (F.col("p") + 1) * span - 1)).alias("slot"), (F.col("p") * span).alias("bucket"), F.col("d").alias("local_depth"))
-    index = ExtendibleIndex(log, directory, depth, total, hash_bits)
-    placed = log.withColumn("slot", index.slot(F.col("h"))).join(F.broadcast(directory.select("slot", "bucket")), "slot").drop("slot")
-    chained = placed.selectExpr("*", "row_number() over (partition by bucket, h order by digest) - 1 as chain_pos", "count(*) over (partition by bucket, h, digest) as twins")
-    owned = chained.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "chain_pos")
-    index.entries = stored(owned, "dedup-index")
+    index = ExtendibleIndex(hashes, directory, depth, total, hash_bits)
+
+    heavy = F.broadcast(hashes.filter(F.col("rows") * HEAVY_SHARE >= max(total, HEAVY_SHARE * 64)).select("h"))
+    entry = F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
+    single = keyed.select("h", "norm", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    moved = single.join(heavy, "h", "left_anti").unionByName(single.join(heavy, "h", "left_semi").groupBy("h", "norm").agg(*entry))
+    placed = moved.withColumn("slot", index.slot(F.col("h"))).join(F.broadcast(directory.select("slot", "bucket")), "slot").drop("slot")
+    # one shuffle: comparing and chaining keep the owner's partitioning
+    owned = placed.withColumn("owner", F.shiftrightunsigned("h", 64 - OWNER_BITS)).repartition("owner")
+    compared = owned.groupBy("owner", "bucket", "h", "norm").agg(*entry).withColumn("digest", F.sha2("norm", 256)).drop("norm")
+    chained = compared.selectExpr("*", "row_number() over (partition by owner, bucket, h order by digest) - 1 as chain_pos", "count(*) over (partition by owner, bucket, h, digest) as twins")
+    index.entries = stored(chained.drop("owner"), "dedup-index")
     if index.entries.filter("twins > 1").limit(1).count():
         raise ValueError("one digest names texts of different bytes")
     return index
