@@ -1,22 +1,25 @@
 """Surrogates for personal data, in DataFrame functions only.
 
-One pattern finds e-mail addresses, IPv4 addresses, phone numbers, payment cards (with a right check
-digit), hexadecimal secrets and names behind an honorific.  Each entity is replaced by a surrogate of
-its type that depends on a secret key and the entity's canonical form alone, so one entity has one
-surrogate in the whole corpus, in every spelling of its case or punctuation.  Formats stay: the
+One pattern finds e-mail addresses, IPv4 addresses, phone numbers (with a country code, or national
+ones of ten digits), payment cards (with a right check digit), hexadecimal secrets and names behind an
+honorific.  Each entity is replaced by a surrogate of its type that depends on a secret key and the
+entity's canonical form alone, so one entity has one surrogate in the whole corpus, in every spelling
+of its case or punctuation.  A name's words are entities of their own, for each gender, so "Mr. John
+Smith" and a later "Mr. Smith" keep their family name in common.  Formats stay: the
 places of digits, letters and punctuation, the case, a phone's country code and 555 exchange, a
 card's first digit and valid check digit, a valid address's four octets; a name keeps the honorific
-(and so the gender), its number of words and its script (Latin, Cyrillic, Greek).
+(and so the gender), its words' number and separators and its script (Latin, Cyrillic, Greek).
 
 Collision checks: the distinct entities of the corpus are a table; an entity whose surrogate equals
 another's, or equals an entity that occurs, takes the next attempt number until all surrogates are
-distinct (`resolve`).  From attempt WIDE_FROM on an e-mail address has a keyed host label more and a
-name's words have four syllables more, so small formats that fill do not end the run; the other formats
-keep their width and are an error when theirs is full.  Entities with a number above 0 are the only ones that documents have to look
+distinct (`resolve`).  From attempt WIDE_FROM on an e-mail address has a keyed host label more, a
+name's words have four syllables more and a phone's exchange is keyed even if it is 555, so small
+formats that fill do not end the run; the other formats hold billions and keep their width.  Entities with a number above 0 are the only ones that documents have to look
 up; that table is broadcast only up to BROADCAST_ENTITIES rows and joined by shuffle beyond.
 
 Defined cases: null texts stay null and empty ones empty; texts without entities are untouched; rows
-that repeat are treated alike; other columns pass through, whatever their names.
+that repeat are treated alike; other columns pass through, whatever their names, but for one named like
+the count of entities, which that replaces.
 """
 
 from __future__ import annotations
@@ -29,14 +32,16 @@ from .common import stored
 EMAIL = r"(?<![\w.+-])[\w.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+NATIONAL = r"(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
 CARD = r"(?<![\w.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"
 SECRET = r"(?<![0-9A-Za-z])(?=[a-f]*+\d)(?:[0-9a-f]{32,128}+)(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[A-F]*+\d)(?:[0-9A-F]{32,128}+)(?![0-9A-Za-z])"
 # Honorifics by gender; they stay in the text and choose the surrogate's gender.
 MALE = ("Mr.", "Mr", "Herr", "Señor", "Sr.", "Monsieur", "M.", "г-н", "господин", "κύριος")
 FEMALE = ("Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Señora", "Sra.", "Madame", "Mme", "г-жа", "госпожа", "κυρία")
-_HONORIFIC = "|".join(x.replace(".", r"\.") for x in sorted(MALE + FEMALE, key=lambda x: (-len(x), x)) if x != "M.")
+NEUTRAL = ("Dr.", "Prof.")
+_HONORIFIC = "|".join(x.replace(".", r"\.") for x in sorted(MALE + FEMALE + NEUTRAL, key=lambda x: (-len(x), x)) if x != "M.")
 NAME = rf"(?<![\w.])(?:{_HONORIFIC}) \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}(?![\w@])"
-PATTERN = f"{EMAIL}|{IPV4}|{PHONE}|{CARD}|{SECRET}|{NAME}"
+PATTERN = f"{EMAIL}|{IPV4}|{PHONE}|{CARD}|{NATIONAL}|{SECRET}|{NAME}"
 # Syllables of surrogate names by script and, for the last one of a first name, by gender.
 SYLLABLES = {"latin": "ba de fi go lu ma ne ri so ta ve wi".split(), "cyrillic": "ба де фи го лу ма не ри со та ве ви".split(), "greek": "βα δε φι γο λου μα νε ρι σο τα βε θι".split()}
 ENDINGS = {"latin": ("rn", "na"), "cyrillic": ("рн", "на"), "greek": ("ρος", "να")}
@@ -51,7 +56,7 @@ def entity_type(m: Column) -> Column:
         F.when(m.contains("@"), "email")
         .when(m.rlike(rf"^(?:{_HONORIFIC}) "), "name")
         .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ipv4")
-        .when(m.startswith("+"), "phone")
+        .when(m.startswith("+") | m.rlike(rf"^{NATIONAL}$"), "phone")
         .when(m.rlike(r"^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})$"), "secret")
         .when((F.length(digits) >= 13) & (F.length(digits) <= 19) & (luhn_sum(digits) % 10 == 0), "card")
     )  # none: it only looks like one and stays
@@ -66,7 +71,7 @@ def luhn_sum(digits: Column) -> Column:
 
 def canonical(m: Column, kind: Column) -> Column:
     """What is the same for all spellings of one entity."""
-    return F.when(kind.isin("email", "secret"), F.lower(m)).when(kind.isin("phone", "card"), F.regexp_replace(m, r"\D", "")).when(kind == "name", F.regexp_replace(F.regexp_replace(m, rf"^(?:{_HONORIFIC}) ", ""), "[ -]", " ")).otherwise(m)
+    return F.when(kind.isin("email", "secret"), F.lower(m)).when(kind.isin("phone", "card"), F.regexp_replace(m, r"\D", "")).otherwise(m)
 
 
 def _stream(key: str, kind: Column, name: Column, attempt: Column) -> Column:
@@ -106,7 +111,7 @@ def surrogate(key: str, kind: Column, name: Column, gender: Column, attempt: Col
     ipv4 = F.concat_ws(".", *((_byte(s, F.lit(i)) % 254 + 1).cast("string") for i in range(4)))
     secret = _signs(name, lambda c, i: F.lower(F.hex(_byte(s, i) % 16)))
     country = F.length(name) - 10
-    phone = _keyed_digits(name, s, lambda c, i: (i < F.greatest(country, F.lit(1))) | ((i >= country + 3) & (i < country + 6) & (F.substr(name, country + 4, F.lit(3)) == "555")))
+    phone = _keyed_digits(name, s, lambda c, i: (i < F.greatest(country, F.lit(1))) | (~wide & (i >= country + 3) & (i < country + 6) & (F.substr(name, country + 4, F.lit(3)) == "555")))
     body = F.substr(_keyed_digits(name, s, lambda c, i: i == 0), F.lit(1), F.length(name) - 1)
     card = F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
@@ -163,17 +168,25 @@ def dress(m: Column, kind: Column, value: Column) -> Column:
         lambda a: a["out"],
     )
     cased = F.when(m == F.upper(m), F.upper(value)).otherwise(value)
-    title = F.regexp_extract(m, rf"^((?:{_HONORIFIC}) )", 1)
-    return F.when(kind.isin("phone", "card"), digits_in()).when(kind.isin("email", "secret"), cased).when(kind == "name", F.concat(title, value)).otherwise(value)
+    return F.when(kind.isin("phone", "card"), digits_in()).when(kind.isin("email", "secret"), cased).otherwise(value)
+
+
+def parts(m: Column, kind: Column, at: Column) -> Column:
+    """An occurrence as an array of (at, word, before, match, kind, canon, gender): one for each word of a name, else one."""
+    title = F.regexp_extract(m, rf"^(?:{_HONORIFIC}) ", 0)
+    words = F.regexp_replace(m, rf"^(?:{_HONORIFIC}) ", "")
+    marks = F.regexp_extract_all(words, F.lit("[ -]"), F.lit(0))
+    part = lambda word, before, text, canon, gender: F.struct(at.alias("at"), word.alias("word"), before.alias("before"), text.alias("match"), kind.alias("kind"), canon.alias("canon"), gender.alias("gender"))
+    named = F.transform(F.split(words, "[ -]"), lambda w, j: part(j, F.when(j == 0, title).otherwise(F.get(marks, j - 1)), w, w, gender_of(m)))
+    return F.when(kind == "name", named).otherwise(F.array(part(F.lit(0), F.lit(""), m, canonical(m, kind), F.lit(None).cast("string"))))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that hold an entity, with `__between` (texts between matches) and `__found` (match, kind, canon, gender)."""
-    kind = lambda m: entity_type(m)
+    """The rows that hold an entity as the struct `doc`, with `between` (texts between matches) and `found` (the parts of all matches)."""
     hits = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    entity = lambda m: F.struct(m.alias("match"), kind(m).alias("kind"))
-    named = lambda x: F.struct(x["match"].alias("match"), x["kind"].alias("kind"), canonical(x["match"], x["kind"]).alias("canon"), F.when(x["kind"] == "name", gender_of(x["match"])).alias("gender"))
-    return docs.filter(has_entity(text)).withColumns({"__between": F.split(text, PATTERN), "__found": F.transform(F.transform(hits, entity), named)})
+    typed = F.transform(hits, lambda m: F.struct(m.alias("match"), entity_type(m).alias("kind")))
+    found = F.flatten(F.transform(typed, lambda x, i: parts(x["match"], x["kind"], i)))
+    return docs.filter(has_entity(text)).select(F.struct("*").alias("doc"), F.split(text, PATTERN).alias("between"), found.alias("found"))
 
 
 def has_entity(text: str) -> Column:
@@ -182,30 +195,31 @@ def has_entity(text: str) -> Column:
     return F.coalesce(hint & F.col(text).rlike(PATTERN), F.lit(False))
 
 
-def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with every entity in `text` replaced, and the column __entities: how many."""
-    rows = stored(find(docs, text).withColumn("__row", F.monotonically_increasing_id()), "pii-found")
-    entities = rows.select(F.explode("__found").alias("e")).select("e.kind", "e.canon", "e.gender").filter(F.col("kind").isNotNull()).distinct()
+def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str = "__entities") -> DataFrame:
+    """docs with every entity in `text` replaced, and the column `count`: how many."""
+    docs = docs.drop(count)
+    rows = stored(find(docs, text).withColumn("row", F.monotonically_increasing_id()), "pii-found")
+    entities = rows.select(F.explode("found").alias("e")).select("e.kind", "e.canon", "e.gender").filter(F.col("kind").isNotNull()).distinct()
     resolved = resolve(entities, key)
     moved = resolved.filter("attempt > 0").select("kind", "canon", "gender", "attempt")
     n = moved.count()
     if n:
         # only documents that hold an entity with another attempt look it up
-        seen = rows.select("__row", F.explode("__found").alias("e")).select("__row", "e.kind", "e.canon", "e.gender").distinct()
+        seen = rows.select("row", F.explode("found").alias("e")).select("row", "e.kind", "e.canon", "e.gender").distinct()
         table = F.broadcast(moved) if n <= BROADCAST_ENTITIES else moved
         same = [seen["kind"] == table["kind"], seen["canon"] == table["canon"], seen["gender"].eqNullSafe(table["gender"])]
-        tried = seen.join(table, same).groupBy("__row").agg(F.collect_list(F.struct(seen["kind"], seen["canon"], seen["gender"], "attempt")).alias("__moved"))
-        rows = rows.join(tried, "__row", "left")
+        tried = seen.join(table, same).groupBy("row").agg(F.collect_list(F.struct(seen["kind"], seen["canon"], seen["gender"], "attempt")).alias("moved"))
+        rows = rows.join(tried, "row", "left")
     else:
-        rows = rows.withColumn("__moved", F.lit(None).cast("array<struct<kind:string,canon:string,gender:string,attempt:int>>"))
-
-    occurrence = rows.select("*", F.posexplode("__found").alias("__at", "__e"))
-    attempt = F.coalesce(F.get(F.filter("__moved", lambda x: (x["kind"] == F.col("__e.kind")) & (x["canon"] == F.col("__e.canon")) & x["gender"].eqNullSafe(F.col("__e.gender"))), F.lit(0))["attempt"], F.lit(0))
-    single = occurrence.select("__row", "__at", F.col("__e.match").alias("match"), F.col("__e.kind").alias("kind"), F.col("__e.canon").alias("canon"), F.col("__e.gender").alias("gender"), attempt.alias("attempt"))
-    dressed = with_surrogates(single, key).select("__row", "__at", F.when(F.col("kind").isNull(), F.col("match")).otherwise(dress(F.col("match"), F.col("kind"), F.col("surrogate"))).alias("new"), F.col("kind").isNotNull().alias("hit"))
-    new = dressed.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__at", "new"))).alias("__new"), F.count_if("hit").alias("__entities"))
-    joined = rows.join(new, "__row")
-    whole = F.array_join(F.transform("__between", lambda b, i: F.concat(b, F.coalesce(F.get(F.col("__new"), i)["new"], F.lit("")))), "")
-    changed = joined.withColumn(text, whole).select(*docs.columns, "__entities")
-    rest = docs.filter(~has_entity(text)).withColumn("__entities", F.lit(0).cast("long"))
-    return changed.unionByName(rest)
+        rows = rows.withColumn("moved", F.lit(None).cast("array<struct<kind:string,canon:string,gender:string,attempt:int>>"))
+
+    each = rows.select("row", "moved", F.explode("found").alias("e"))
+    attempt = F.coalesce(F.get(F.filter("moved", lambda x: (x["kind"] == F.col("e.kind")) & (x["canon"] == F.col("e.canon")) & x["gender"].eqNullSafe(F.col("e.gender"))), F.lit(0))["attempt"], F.lit(0))
+    value = F.when(F.col("kind").isNull(), F.col("match")).otherwise(dress(F.col("match"), F.col("kind"), F.col("surrogate")))
+    dressed = with_surrogates(each.select("row", "e.*", attempt.alias("attempt")), key).select("row", "at", "word", F.concat("before", value).alias("new"), (F.col("kind").isNotNull() & (F.col("word") == 0)).alias("hit"))
+    new = dressed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "word", "new"))).alias("new"), F.count_if("hit").alias("n"))
+    between = F.col("between")
+    written = F.transform("new", lambda x: F.concat(F.when(x["word"] == 0, F.get(between, x["at"])).otherwise(""), x["new"]))
+    whole = F.concat(F.array_join(written, ""), F.element_at(between, -1))
+    changed = rows.join(new, "row").select(F.col("doc").withField(f"`{text}`", whole).alias("doc"), "n").select("doc.*", F.col("n").alias(count))
+    return changed.unionByName(docs.filter(~has_entity(text)).withColumn(count, F.lit(0).cast("long")))

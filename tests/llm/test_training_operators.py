@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -338,6 +339,23 @@ def test_colliding_surrogates_are_resolved(spark):
     assert raw.select("surrogate").distinct().count() < 300
 
 
+def test_names_keep_coreference_and_columns_may_clash(spark):
+    rows = [
+        (0, "Mr. John Smith left. Later Mr. Smith and Mr. John-Paul Jones met Dr. Smith.", "a", 1),
+        (1, "Mr. Smith, call (743) 555-3824 or 743 555 3824, not 12743 555 3824x.", "b", 2),
+        (2, "Mrs. John Smith", None, 3),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, found string, row long").withColumns({"between": F.lit("x"), "moved": F.lit("y"), "doc": F.lit("z"), "n": F.lit(7), "__entities": F.lit("old")})
+    got = {r.doc_id: r for r in pii.replace_entities(df, "k").collect()}
+    full, short, double, doctor = re.fullmatch(r"Mr\. (\w+ \w+) left\. Later Mr\. (\w+) and Mr\. (\w+-\w+ \w+) met Dr\. (\w+)\.", got[0].text).groups()
+    assert full.split()[1] == short != doctor and double.startswith(full.split()[0] + "-") and not {"John", "Smith", "Paul", "Jones"} & set(re.findall(r"\w+", got[0].text))
+    assert got[1].text.startswith(f"Mr. {short}, call (7") and got[2].text.split()[2] != short
+    a, b = re.search(r"call (\(7\d\d\) 555-\d{4}) or (7\d\d 555 \d{4}), not 12743 555 3824x\.", got[1].text).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "7435553824"
+    assert [got[i]["__entities"] for i in range(3)] == [4, 3, 1]
+    assert [(r.found, r.row, r.between, r.moved, r.doc, r.n) for r in (got[i] for i in range(3))] == [("a", 1, "x", "y", "z", 7), ("b", 2, "x", "y", "z", 7), (None, 3, "x", "y", "z", 7)]
+
+
 def test_surrogates_outgrow_a_full_format(spark, monkeypatch):
     monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "de"])
     letters = "abcdefghijklmnopqrstuvwxyz"
