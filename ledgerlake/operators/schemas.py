@@ -64,6 +64,17 @@ def schema_hash(columns: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.select(*keys, F.sha2(F.to_json(F.struct("c", F.transform("p", lambda x: x["name"]).alias("p"))), 256).alias("schema_hash"), "n_columns")
 
 
+def choose_captures(assets: DataFrame, described: DataFrame, resulted: DataFrame) -> DataFrame:
+    """asset, schema_hash, n_columns, source of each of assets.asset: what its connector describes, else what its run's result shows, else unsupported.
+
+    described and resulted: asset, schema_hash, n_columns, one row an asset.
+    """
+    side = lambda df, name: df.select("asset", F.struct("schema_hash", "n_columns").alias(name))
+    both = assets.select("asset").distinct().join(side(described, "d"), "asset", "left").join(side(resulted, "r"), "asset", "left")
+    source = F.when(F.col("d").isNotNull(), "descriptor").when(F.col("r").isNotNull(), "result").otherwise("unsupported")
+    return both.withColumn("c", F.coalesce("d", "r")).select("asset", "c.schema_hash", "c.n_columns", source.alias("source"))
+
+
 def capture_schemas(versions: DataFrame, captured: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(new version table, failures) after captures (asset, schema_hash, n_columns).
 

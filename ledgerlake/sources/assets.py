@@ -32,6 +32,9 @@ class Asset:
     owner: str = ""
     partition_column: str | None = None
     max_lag_seconds: int | None = None
+    every_seconds: int | None = None
+    reviewers: tuple[str, ...] = ()
+    pii_overrides: dict[str, bool] = field(default_factory=dict)
 
 
 class AssetBuilder:
@@ -75,6 +78,26 @@ class AssetBuilder:
         self._made["max_lag_seconds"] = seconds
         return self
 
+    def every(self, seconds: int) -> AssetBuilder:
+        """A fixed cadence."""
+        if seconds <= 0:
+            raise ValueError("a cadence has to be positive")
+        self._made["every_seconds"] = seconds
+        return self
+
+    def reviewed_by(self, *roles: str) -> AssetBuilder:
+        if not all(roles) or len(set(roles)) < len(roles):
+            raise ValueError("reviewers have to be named, each once")
+        self._made["reviewers"] = roles
+        return self
+
+    def pii_override(self, column: str, pii: bool) -> AssetBuilder:
+        overrides = self._made.setdefault("pii_overrides", {})
+        if not column or column in overrides:
+            raise ValueError(f"column {column!r} has no name or an override already")
+        overrides[column] = pii
+        return self
+
     def owned_by(self, owner: str, *tags: str) -> AssetBuilder:
         self._made.update(owner=owner, tags=tags)
         return self

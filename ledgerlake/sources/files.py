@@ -79,10 +79,13 @@ def describe_schema(df: DataFrame, pk: list[str] | None = None) -> DataFrame:
 
 
 def conformance(df: DataFrame, fmt: str, path: str) -> DataFrame:
-    """Writes df, reads it back and reports what differs: rows lost, rows added, columns that changed."""
+    """Writes df, reads it back and reports what differs: rows lost, rows added, columns whose type or nullability changed, before and after.
+
+    Columns count whatever their order.  File sources read every column as nullable, so a required one is reported.
+    """
     write_files(df, path, fmt)
     back = read_files(df.sparkSession, path, fmt, schema=None if fmt == "parquet" else df.schema).select(*df.columns)
     lost, added = df.exceptAll(back), back.exceptAll(df)
     report = lost.agg(F.lit("rows_lost").alias("check"), F.count(F.lit(1)).alias("n")).unionByName(added.agg(F.lit("rows_added").alias("check"), F.count(F.lit(1)).alias("n")))
-    a, b = describe_schema(df).select("name", "type"), describe_schema(back).select("name", "type")
+    a, b = (describe_schema(x).select("name", "type", "nullable") for x in (df, back))
     return report.unionByName(a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.lit("columns").alias("check"), F.count(F.lit(1)).alias("n")))

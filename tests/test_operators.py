@@ -214,6 +214,27 @@ def test_assets(spark, tmp_path):
         files.read_jdbc(spark, "jdbc:x", "t; drop table t")
 
 
+def test_builder_takes_cadence_reviewers_and_overrides():
+    made = assets.AssetBuilder("a").every(3600).reviewed_by("steward", "owner").pii_override("email", True).pii_override("id", False).build()
+    assert (made.every_seconds, made.reviewers, made.pii_overrides) == (3600, ("steward", "owner"), {"email": True, "id": False})
+    for bad in (lambda b: b.every(0), lambda b: b.reviewed_by("x", "x"), lambda b: b.reviewed_by(""), lambda b: b.pii_override("c", True).pii_override("c", True), lambda b: b.pii_override("", True)):
+        with pytest.raises(ValueError):
+            bad(assets.AssetBuilder("a"))
+
+
+def test_captures_take_the_description_first(spark):
+    kind = "asset string, schema_hash string, n_columns long"
+    told = spark.createDataFrame([("a", "h1", 2), ("b", "h2", 0)], kind)
+    seen = spark.createDataFrame([("a", "h3", 3), ("c", "h4", 4)], kind)
+    found = schemas.choose_captures(spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("a",)], "asset string"), told, seen)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == [("a", "h1", 2, "descriptor"), ("b", "h2", 0, "descriptor"), ("c", "h4", 4, "result"), ("d", None, None, "unsupported")]
+
+
+def test_conformance_reports_nullability(spark, tmp_path):
+    got = files.conformance(spark.range(3), "parquet", f"{tmp_path}/x")
+    assert {r.check: r.n for r in got.collect()} == {"rows_lost": 0, "rows_added": 0, "columns": 2}
+
+
 def test_rules_that_fail_at_run_time_leave_the_others_alone(spark):
     df = spark.createDataFrame([("a", 1), ("2", 3), (None, None)], "t string, v int")
     rules = [quality.RangeCheck("t", 0, 5), quality.RangeCheck("v", 0, 5), quality.SQLAssertion("z", "SELECT 1 DIV 0", quality.equals_zero), quality.NullCheck("v", 0.5)]
