@@ -85,7 +85,9 @@ def labelled_kmers(words: np.ndarray, k: int) -> np.ndarray:
         if len(start) < n:
             seen = np.empty(n, dtype=np.uint64)
             seen[order] = (np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))).astype(np.uint64)
-            h = _mix(h + seen * np.uint64(0xD6E8FEB86659FD93))
+            # a first occurrence keeps its hash, whatever else the text repeats
+            late = seen > 0
+            h[late] = _mix(h[late] + seen[late] * np.uint64(0xD6E8FEB86659FD93))
     return h
 
 
