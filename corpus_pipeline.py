@@ -33,9 +33,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced; n_chars follows the new text."""
-    replaced = pii.replace_entities(docs, SURROGATE_KEY).drop("__entities")
-    return replaced.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, personal data replaced; n_chars, where there is such a column, follows the new text."""
+    count = "_".join(["entities", *docs.columns])  # no column has this name
+    replaced = pii.replace_entities(docs, SURROGATE_KEY, count=count)
+    follows = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return replaced.withColumns(follows).select(*docs.columns) if follows else replaced.select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

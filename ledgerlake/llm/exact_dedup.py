@@ -117,7 +117,6 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs that stay, columns as they were."""
     index = build_index(docs, key, text, **options)
-    stays = index.entries.select(F.col("keep_id").alias("__id"), F.col("digest").alias("__digest"))
-    probe = docs.withColumns({"__id": F.col(key), "__digest": F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256)})
-    same = probe["__id"].eqNullSafe(stays["__id"]) & (probe["__digest"] == stays["__digest"])
-    return probe.join(stays, same, "left_semi").drop("__id", "__digest")
+    stays = index.entries.select("keep_id", "digest")
+    digest = F.sha2(ascii_lower(F.coalesce(docs[text], F.lit(""))), 256)
+    return docs.join(stays, docs[key].eqNullSafe(stays["keep_id"]) & (digest == stays["digest"]), "left_semi")

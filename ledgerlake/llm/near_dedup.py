@@ -6,12 +6,11 @@ so equal sketches suggest a small edit distance, not just shared words.  A text
 them, and texts with an equal sketch share a bucket.  Short texts, where an edit breaks a large part of
 the k-mers, have as many sketches again of shorter ones (SHORTER).
 
-A bucket's members are compared with its leader, the smallest id, and in narrower buckets with LEADERS of
-them.  Where all are then of one class (by any links so far), it is done.  Else the members outside its largest class are compared with every
-member of another class where the bucket has at most WHOLE members, so there no link that would join two
-classes is missed, and with the leaders where it has more.  The members of these larger buckets then
-meet again in narrower ones (3, then 15, then all further sketches have to be equal too) until no larger bucket is
-left; only there a pair has to agree in further sketches to be compared.
+A bucket's members are compared with its leader, the smallest id.  Where all are then of one class (by any links so
+far), it is done.  Else the members outside its largest class are compared with every member of another class where the
+bucket has at most WHOLE members, and with LEADERS leaders where it has more.  Of these larger buckets, those that still have two
+classes are dealt into tiles by text length and salt; a tile compares the bags of words of all members of different
+classes, by counts in BINS bins, and hands on each pair that these counts don't rule out.  The bound never rules out a similar pair, so in buckets of any size no link that would join two classes is missed, and no pair is named that a bound can reject.
 A pair counts as similar if its word
 edit similarity, 1 - distance / longer length, is at least `similarity`; a bag-of-words bound and the
 band's width reject most others early.  Classes are the connected components of the links.
@@ -34,15 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread_join, stored
-from .words import slices
 
 WORDS, ORDER, SKETCHES, SIMILARITY = 3, 2, 32, 0.8
 # k of further sketches, and the most words of a text that has them
 SHORTER = ((2, 80), (1, 20))
-SALTS = 64
 LEADERS = 4
 WHOLE = 32
-FEW_PAIRS = 500_000
+BINS = 256
+COARSE = 64  # bins that a first bound looks at
+TILE = 1024  # members of a side of a tile, about
+TILE_CELLS = 1 << 22
+CELL_BYTES = 16_000_000
 BATCH_CELLS = 4_000_000
 SKETCH_CELLS = 1 << 19
 
@@ -119,24 +120,33 @@ def text_sketches(words: np.ndarray, k: int, order: int, seeds: np.ndarray) -> n
     return np.concatenate([order_minhash(labelled_kmers(words, n), order, seeds) for n in kinds])
 
 
+def bag(words: np.ndarray) -> bytes:
+    """How many words fall into each bin, as BINS bytes; counts beyond 255 stay there, which only weakens the bound."""
+    counts = np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def sketch_texts(texts: DataFrame, k: int, order: int, sketches: int) -> DataFrame:
-    """id, digest, s array<long>."""
+    """id, digest, s array<long>, n_words, bag."""
     seeds = _mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     kind = dict(texts.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rows = []
+            rows, lengths, bags = [], [], []
             for t in batch.column("text").to_pylist():
                 words = t.split()
-                rows.append(text_sketches(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)), k, order, seeds))
+                hashed = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+                rows.append(text_sketches(hashed, k, order, seeds))
+                lengths.append(len(words))
+                bags.append(bag(hashed))
             flat = np.concatenate(rows).view(np.int64) if rows else np.empty(0, dtype=np.int64)
             bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), lists], ["id", "digest", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), lists, pa.array(lengths, type=pa.int32()), pa.array(bags, type=pa.binary())], ["id", "digest", "s", "n_words", "bag"])
 
-    return texts.mapInArrow(run, f"id {kind}, digest string, s array<long>")
+    return texts.mapInArrow(run, f"id {kind}, digest string, s array<long>, n_words int, bag binary")
 
 
 # ---- verification --------------------------------------------------------------------------------------
@@ -215,17 +225,25 @@ PARTS = (0.1, 0.35, 1.0)
 
 
 def similar(texts: list[tuple[str, str]], similarity: float) -> np.ndarray:
-    """Whether each two texts have at least that word edit similarity."""
+    """Whether each two texts have at least that word edit similarity; texts that come again are split once."""
     answer, open_ = np.zeros(len(texts), dtype=bool), []
+    known: dict[str, tuple[list[str], Counter]] = {}
+
+    def split(text: str) -> tuple[list[str], Counter]:
+        if text not in known:
+            known[text] = (words := text.split(), Counter(words))
+        return known[text]
+
     for i, (s, t) in enumerate(texts):
-        a, b = s.split(), t.split()
-        limit = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
-        if abs(len(a) - len(b)) > limit:
+        (a, some), (b, others) = split(s), split(t)
+        longer = max(len(a), len(b))
+        limit = int((1 - similarity) * longer + 1e-9)
+        if abs(len(a) - len(b)) > limit or longer - sum(min(n, others[w]) for w, n in some.items() if w in others) > limit:
             continue
         a, b = _trim(a, b)
         if max(len(a), len(b)) <= limit:
             answer[i] = True
-        elif a and b and max(len(a), len(b)) - (Counter(a) & Counter(b)).total() <= limit:
+        elif a and b:
             open_.append((i, *_numbered(a, b), limit))
     for part in PARTS:
         open_.sort(key=lambda x: (x[3], len(x[1])))
@@ -245,27 +263,28 @@ def similar(texts: list[tuple[str, str]], similarity: float) -> np.ndarray:
     return answer
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n_texts: int, similarity: float) -> DataFrame:
-    """The pairs (id, leader) that are similar.  A leader's text is fetched once for each salt it is needed with, so no leader gathers all of its members.
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (id, leader) that are similar; texts: id, text.
 
-    Where the pairs are few against the texts, and at most FEW_PAIRS (16 MB of ids), texts that none of them needs are not shuffled.
+    Pairs are dealt into cells by a hash of either id, and a cell gets each of its texts once, whatever
+    the number of its pairs; a leader's pairs lie in as many cells as there are hashes of ids.  There are so many
+    hashes that the texts of one hold about CELL_BYTES.
     """
     kind = dict(texts.dtypes)["id"]
-    n = pairs.count()
-    if n <= FEW_PAIRS and 4 * n <= n_texts:
-        needed = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
-        texts = texts.join(F.broadcast(needed), "id", "left_semi")
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    leaders = salted.select("leader", "salt").distinct().hint("merge").join(texts.select(F.col("id").alias("leader"), F.col("text").alias("leader_text")), "leader")
-    both = salted.hint("merge").join(texts, "id").join(leaders.hint("merge"), ["leader", "salt"]).select("id", "leader", "text", "leader_text")
+    needed = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
+    size = texts.join(needed, "id", "left_semi").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sides = max(1, -(-size // CELL_BYTES))
+    side = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
+    dealt = pairs.select("id", "leader", side("id").alias("a"), side("leader").alias("b"))
+    wanted = dealt.select("id", "a", "b").unionByName(dealt.select(F.col("leader").alias("id"), "a", "b")).distinct()
+    held = wanted.hint("merge").join(texts, "id").select(F.col("id").alias("of"), "text", F.col("a").alias("x"), F.col("b").alias("y"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in slices(batch, 1024):
-                ok = similar(list(zip(some.column("text").to_pylist(), some.column("leader_text").to_pylist(), strict=True)), similarity)
-                yield some.select(["id", "leader"]).filter(pa.array(ok))
+    def run(some: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        text = dict(zip(words["of"], words["text"], strict=True))
+        ok = similar([(text[x], text[y]) for x, y in zip(some["id"], some["leader"], strict=True)], similarity)
+        return some.loc[ok, ["id", "leader"]]
 
-    return both.mapInArrow(run, f"id {kind}, leader {kind}")
+    return dealt.groupBy("a", "b").cogroup(held.groupBy("x", "y")).applyInPandas(run, f"id {kind}, leader {kind}")
 
 
 # ---- links and classes ---------------------------------------------------------------------------------
@@ -292,41 +311,87 @@ def apart_pairs(seen: DataFrame, bounds: DataFrame) -> DataFrame:
     return all_of_them.unionByName(led_ones).distinct()
 
 
-def links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
-    """id, leader: verified links between different texts, the smaller id second; members: id, s; texts: id, text.
+def left_by_bags(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (row of x, row of y; bags and n words) that their bags don't rule out: words that one has more of than the other have to be edited."""
+    longer, shift = np.maximum(nx[:, None], ny[None, :]), np.abs(nx[:, None] - ny[None, :])
+    left = 2 * ((1 - similarity) * longer + 1e-9).astype(np.int32) - shift
+    fold = lambda bags: np.ascontiguousarray(bags.reshape(len(bags), COARSE, -1).sum(axis=2, dtype=np.int16).T)
+    apart = np.zeros(left.shape, dtype=np.int32)
+    for a, b in zip(fold(x), fold(y), strict=True):
+        apart += np.abs(a[:, None] - b[None, :])
+    i, j = np.nonzero(apart <= left)
+    kept = [np.abs(x[i[at : at + 4096]].astype(np.int16) - y[j[at : at + 4096]]).sum(axis=1) for at in range(0, len(i), 4096)]
+    fine = np.concatenate(kept) <= left[i, j] if kept else np.zeros(0, dtype=bool)
+    return i[fine], j[fine]
+
+
+def tile_pairs(large: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (id, the smaller one as leader) of members of different classes that their bags leave; large: j, key, id, c, n_words, bag.
+
+    Texts of a similar pair differ in length by the factor `similarity` at most, so they lie in one length
+    class or in two neighbours.  A cell holds the members of a class and of the next longer one, and
+    is cut into tiles of about TILE members a side.
+    """
+    kind = dict(large.dtypes)["id"]
+    size_class = F.floor(F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double")) / F.lit(-np.log(similarity)) + 1e-9).cast("int") if similarity < 1 else F.col("n_words")
+    sized = large.withColumn("g", size_class)
+    cells = sized.withColumn("cell", F.explode(F.array("g", F.col("g") - 1))).withColumn("own", F.col("cell") == F.col("g"))
+    counts = cells.groupBy("j", "key", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("sides"), F.min("c").alias("low"), F.max("c").alias("high"), F.bool_or("own").alias("any_own"))
+    counts = counts.filter("low < high and any_own").select("j", "key", "cell", "sides")
+    placed = cells.join(counts, ["j", "key", "cell"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    tiles = tiles.select("j", "key", "cell", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "own", "id", "c", "n_words", "bag")
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        ids, classes, n = tile["id"].to_numpy(), tile["c"].to_numpy(), tile["n_words"].to_numpy(dtype=np.int32)
+        bags = np.frombuffer(b"".join(tile["bag"]), dtype=np.uint8).reshape(len(tile), BINS)
+        own, side, a, b = tile["own"].to_numpy(), tile["side"].to_numpy(), int(tile["a"].iloc[0]), int(tile["b"].iloc[0])
+        first, second, found = np.flatnonzero(side == a), np.flatnonzero(side == b), []
+        step = max(1, TILE_CELLS // max(1, len(second)))
+        for at in range(0, len(first), step):
+            rows = first[at : at + step]
+            i, j = left_by_bags(bags[rows], n[rows], bags[second], n[second], similarity)
+            x, y = rows[i], second[j]
+            new = (classes[x] != classes[y]) & (own[x] | own[y])
+            found.append(pd.DataFrame({"id": np.maximum(ids[x], ids[y])[new], "leader": np.minimum(ids[x], ids[y])[new]}))
+        return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"id": ids[:0], "leader": ids[:0]})
+
+    return tiles.groupBy("j", "key", "cell", "a", "b").applyInPandas(run, f"id {kind}, leader {kind}").distinct()
+
+
+def links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """id, leader: verified links between different texts, the smaller id second; members: id, s, n_words, bag; texts: id, text.
 
-    A text's sketches are blocks of `sketches`, one a kind of k-mers; buckets are narrowed within a block.
     The links connect the classes; links between texts that others connect already may be left out.
     """
-    rows, found, tried, level = members.select("id", F.posexplode("s").alias("j", "key"), F.col("id").alias("c")), None, None, 0
-    while 4**level < 4 * sketches:
-        state = stored(rows.join(led(rows), ["j", "key"]), "near-level")
-        if level == 0:
-            # later levels ask for no other texts
-            texts = stored(texts.join(state.select("id").distinct().hint("merge"), "id", "left_semi"), "near-texts")
-            n_texts = texts.count()
-        first = F.array(F.array_min("leaders")) if level == 0 else F.col("leaders")
-        each = state.select("id", "c", F.explode(first).alias("x")).filter("c <> x.c").select("id", F.col("x.id").alias("x"))
-        pairs = each.select(*_ordered("id", "x")).distinct()
-        for closer in (False, True):
-            if closer:
-                classes = components(found)
-                seen = stored(state.drop("c").join(classes, "id", "left").withColumn("c", F.coalesce("class_id", "id")).drop("class_id"), "near-seen")
-                counts = seen.groupBy("j", "key", "c").agg(F.count(F.lit(1)).alias("n"))
-                bounds = counts.groupBy("j", "key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "c")).alias("top")).filter("classes > 1").select("j", "key", "n", F.col("top.c").alias("main"))
-                bounds = stored(bounds, "near-bounds")
-                pairs = apart_pairs(seen, bounds)
-            pairs = stored(pairs if tried is None else pairs.join(tried, ["id", "leader"], "left_anti"), "near-pairs")
-            good = stored(verified(pairs, texts, n_texts, similarity), "near-links")
-            found = good if found is None else found.unionByName(good)
-            tried = pairs if tried is None else tried.unionByName(pairs)
-        # three times as many further sketches as the narrower buckets have agreed in so far
-        more = [F.get("s", F.col("j") - F.col("j") % sketches + (F.col("j") + i) % sketches) for i in range(4**level, min(sketches, 4 ** (level + 1)))]
-        level += 1
-        rest = seen.join(bounds.filter(F.col("n") > WHOLE).select("j", "key"), ["j", "key"], "left_semi")
-        rows = stored(rest.join(members, "id").select("id", "j", F.xxhash64("key", *more).alias("key"), "c"), "near-rest")
-        if not rows.limit(1).count():
-            break
+    rows = members.select("id", F.posexplode("s").alias("j", "key"), F.col("id").alias("c"))
+    state = stored(rows.join(led(rows), ["j", "key"]), "near-buckets")
+    # texts that share no bucket are not needed further
+    texts = stored(texts.join(state.select("id").distinct().hint("merge"), "id", "left_semi"), "near-texts")
+    found, tried = None, None
+
+    def classed(at: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The buckets' members with their classes by now, and the buckets that still have two."""
+        seen = stored(at.drop("c").join(components(found), "id", "left").withColumn("c", F.coalesce("class_id", "id")).drop("class_id"), "near-seen")
+        counts = seen.groupBy("j", "key", "c").agg(F.count(F.lit(1)).alias("n"))
+        bounds = counts.groupBy("j", "key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "c")).alias("top")).filter("classes > 1").select("j", "key", "n", F.col("top.c").alias("main"))
+        return seen, stored(bounds, "near-bounds")
+
+    each = state.select("id", "c", F.array_min("leaders").alias("x")).filter("c <> x.c").select("id", F.col("x.id").alias("x"))
+    for step in range(3):
+        if step == 0:
+            pairs = each.select(*_ordered("id", "x")).distinct()
+        elif step == 1:
+            seen, bounds = classed(state)
+            pairs = apart_pairs(seen, bounds)
+        else:
+            seen, bounds = classed(seen.join(bounds.filter(F.col("n") > WHOLE).select("j", "key"), ["j", "key"], "left_semi"))
+            large = seen.select("id", "j", "key", "c").join(bounds.select("j", "key"), ["j", "key"], "left_semi")
+            pairs = tile_pairs(large.join(members.select("id", "n_words", "bag"), "id"), similarity)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["id", "leader"], "left_anti"), "near-pairs")
+        good = stored(verified(pairs, texts, similarity), "near-links")
+        found = good if found is None else found.unionByName(good)
+        tried = pairs if tried is None else tried.unionByName(pairs)
     return found
 
 
@@ -358,8 +423,8 @@ def _of_unique_ids(named: DataFrame, k: int, order: int, sketches: int, similari
     signed = stored(sketch_texts(named.withColumn("digest", F.sha2("text", 256)), k, order, sketches), "near-sketches")
     # equal texts: the smallest id stands for all
     texts = stored(signed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "near-digests")
-    members = stored(signed.select("id", "s").join(texts.select("id"), "id", "left_semi"), "near-members")
-    edges = stored(links(members, named, similarity, sketches), "near-edges")
+    members = stored(signed.select("id", "s", "n_words", "bag").join(texts.select("id"), "id", "left_semi"), "near-members")
+    edges = stored(links(members, named, similarity), "near-edges")
     classes = components(edges)
     degree = edges.select("id").unionByName(edges.select(F.col("leader").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     known = texts.join(classes, "id", "left").join(degree, "id", "left").select("digest", "n", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -46,3 +46,18 @@ def test_pipeline_stages(spark, small):
     for r in packed:
         per[r.doc_id] = per.get(r.doc_id, 0) + r.length
     assert all(per[r.doc_id] == r.doc_tokens for r in packed)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    kind = "doc_id long, text string, id string, keep_id string, digest string, __digest string, __entities string, n string"
+    text = "The river runs past the old mill and the children watch the boats on their way to school every morning."
+    rows = [(1, text), (2, text), (3, None), (None, f"Write to anna.k@mail.example.com today. {text} {text[:40]} and more of it."), (5, "")]
+    for some in (rows, []):
+        at = spark.createDataFrame([(*r, *["clash"] * 6) for r in some], kind)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, "").cache()
+            assert at.columns[:2] == ["doc_id", "text"] and len(at.columns) == 8, name
+            assert all(tuple(r)[2:] == ("clash",) * 6 for r in at.collect()), name
+        got = {r.doc_id: r.text for r in at.collect()}
+        assert not some or 1 not in got and "anna.k" not in (got[None] or "")
+        assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, at, "").collect()} == set(got)

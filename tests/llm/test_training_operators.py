@@ -255,7 +255,10 @@ def test_most_pairs_at_the_threshold_share_a_sketch(spark, n, edits):
     assert recall >= 0.97
 
 
-def test_drifting_copies_keep_every_link_between_classes(spark):
+@pytest.mark.parametrize(("tile", "cell"), [(near_dedup.TILE, near_dedup.CELL_BYTES), (25, 5_000)])
+def test_drifting_copies_keep_every_link_between_classes(spark, monkeypatch, tile, cell):
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "CELL_BYTES", cell)
     rng = np.random.default_rng(5)
     texts = [[f"w{x}" for x in rng.integers(0, 10**6, 100)]]
     while len(texts) < 400:
@@ -278,6 +281,46 @@ def test_drifting_copies_keep_every_link_between_classes(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == dict(enumerate(want))
 
 
+def test_copies_that_gain_a_repeat_are_found(spark):
+    # an earlier form gave all k-mers of a text new hashes once one of them was there twice
+    rng, rows = np.random.default_rng(17), []
+    for i in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:120], *words[10:13], *words[120:]]))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(40)}
+
+
+def test_near_duplicates_of_the_small_table_against_all_pairs(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    first = {}
+    for r in sorted(docs.collect()):
+        first.setdefault(r.text or "", r.doc_id)
+    texts = sorted(first, key=lambda t: len(t.split()))
+    want = {i: i for i in first.values()}
+    pairs = [(s, t) for n, s in enumerate(texts) for t in texts[n + 1 :] if len(s.split()) >= 0.8 * len(t.split()) - 1]
+    for (s, t), ok in zip(pairs, near_dedup.similar(pairs, 0.8), strict=True):
+        if ok:
+            low, high = sorted((want[first[s]], want[first[t]]))
+            want = {i: low if c == high else c for i, c in want.items()}
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert {i: got[i] for i in want} == want
+
+
+def test_bags_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(19)
+    texts = [[f"w{x}" for x in rng.integers(0, 60, rng.integers(1, 90))] for _ in range(60)]
+    texts += [edited(rng, t, int(rng.integers(0, 1 + len(t) // 4))) for t in texts] + [["same"] * 400, ["same"] * 450]
+    hashes = near_dedup.WordHashes()
+    bags = np.stack([np.frombuffer(near_dedup.bag(np.asarray([hashes[w] for w in t], dtype=np.uint64)), dtype=np.uint8) for t in texts])
+    n = np.asarray([len(t) for t in texts], dtype=np.int32)
+    left = set(zip(*(x.tolist() for x in near_dedup.left_by_bags(bags, n, bags, n, 0.8)), strict=True))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(len(texts))]
+    like = near_dedup.similar([(" ".join(texts[i]), " ".join(texts[j])) for i, j in pairs], 0.8)
+    assert {p for p, ok in zip(pairs, like, strict=True) if ok} <= left
+    assert len(left) < 0.5 * len(pairs)
+
+
 def test_components(spark):
     pairs = [(i + 1, i) for i in range(40)] + [(101, 100), (102, 101)]
     got = {r.id: r.class_id for r in near_dedup.components(spark.createDataFrame(pairs, "id long, leader long")).collect()}
