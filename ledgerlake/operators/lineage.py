@@ -53,10 +53,72 @@ def _walk(steps: DataFrame, seeds: DataFrame, depth: int | None, carry: list[str
     return levels, not is_empty(now.join(steps, now["node"] == steps["src"], "left_semi"))
 
 
-def _simple_paths(steps: DataFrame, seeds: DataFrame, depth: int, carry: list[str]) -> list[DataFrame]:
-    now, levels = seeds.withColumn("path", F.array("node")), []
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """src, dst without the edges whose source is entered by none or whose target is left by none, again and again; cycles and what lies between them stay."""
+    n = edges.count()
+    while n:
+        edges = stored(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "cycles")
+        before, n = n, edges.count()
+        if n == before:
+            break
+    return edges
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """node, colour: the largest node that reaches it, itself included."""
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    now = stored(nodes.withColumn("colour", F.col("node")), "colours")
+    while True:
+        told = edges.join(now.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("new"))
+        grown = stored(now.join(told, "node", "left").select("node", F.greatest("colour", "new").alias("colour"), (F.col("new") > F.col("colour")).alias("moved")), "colours")
+        now = grown.select("node", "colour")
+        if is_empty(grown.filter("moved")):
+            return now
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component (its largest node) of the nodes of edges (src, dst) that lie on a cycle of two nodes or more.
+
+    Forward and backward colouring: nodes take the largest node that reaches them as their colour; a
+    component has one colour, and those of a colour that reach the node that gave it are its component.  What
+    remains inside the colours is trimmed and coloured again.
+    """
+    left, done = _trimmed(stored(edges.filter("src <> dst").select("src", "dst").distinct(), "cycles")), []
+    none = left.limit(0).select(F.col("src").alias("node"), F.col("src").alias("component"))
+    while not is_empty(left):
+        colours = _coloured(left)
+        ends = left.join(colours.select(F.col("node").alias("src"), "colour"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst")
+        inside = stored(ends.filter("colour = other").select("src", "dst", "colour"), "cycles")
+        new = colours.filter("node = colour").select("node")
+        seen = new
+        while not is_empty(new):
+            back = inside.join(new.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+            new = stored(back.join(seen, "node", "left_anti"), "component")
+            seen = seen.unionByName(new)
+        held = stored(seen.join(colours, "node").select("node", F.col("colour").alias("component")), "component")
+        done.append(held)
+        rest = inside.join(held.select(F.col("node").alias("src")), "src", "left_anti").join(held.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = _trimmed(stored(rest.select("src", "dst"), "cycles"))
+    found = reduce(DataFrame.unionByName, done, none)
+    # a node of its own colour that nothing of its colour reaches back to is alone
+    several = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+    return stored(found.join(several, "component", "left_semi").select("node", "component"), "components")
+
+
+def _simple_paths(steps: DataFrame, members: DataFrame, seeds: DataFrame, depth: int, carry: list[str]) -> list[DataFrame]:
+    """Frontiers along simple paths; members: node, component.
+
+    A path that leaves a component never comes back to it, so only the nodes that it visited in the one it is in are
+    kept, as a set: paths over the same nodes to the same node go on alike and are one row.
+    """
+    of = lambda c: members.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    placed = steps.join(of("src"), "src", "left").join(of("dst"), "dst", "left").select("src", "dst", F.coalesce(F.col("of_src") == F.col("of_dst"), F.lit(False)).alias("within"))
+    placed = stored(placed.filter("src <> dst"))
+    now, levels = seeds.withColumn("seen", F.array("node")), []
     for _ in range(depth):
-        now = stored(now.join(steps, now["node"] == steps["src"]).filter(~F.array_contains("path", F.col("dst"))).select(*carry, F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path")))
+        onward = now.join(placed, now["node"] == placed["src"]).filter(~(F.col("within") & F.array_contains("seen", F.col("dst"))))
+        seen = F.when(F.col("within"), F.array_sort(F.array_append("seen", F.col("dst")))).otherwise(F.array("dst"))
+        now = stored(onward.select(*carry, F.col("dst").alias("node"), seen.alias("seen")).distinct())
         if is_empty(now):
             break
         levels.append(now.select(*carry, "node").distinct())
@@ -67,22 +129,18 @@ def _impact(edges: DataFrame, seeds: DataFrame, direction: str, depth: int, keys
     """Distinct (carry, node, depth) along simple paths.
 
     Frontiers of distinct nodes are enough while the walk cannot come back to a node: if it ends by
-    itself, or if what it reaches has no cycle.  Only otherwise are paths carried.
+    itself, or if what it reaches has no cycle.  Otherwise the nodes visited are carried, inside strongly connected components only.
     """
     if not 1 <= depth <= MOST_DEPTH:
         raise ValueError(f"depth has to be from 1 to {MOST_DEPTH}")
     steps = stored(_steps(edges, direction, keys, moment))
     levels, goes_on = _walk(steps, seeds, depth, carry)
-    if levels:
-        start = seeds.select("node").distinct()
-        returns = goes_on
-        if not goes_on:
-            returns = False
-        if returns:
-            reached = reduce(DataFrame.unionByName, [x.select("node") for x in levels], start).distinct()
-            inside = steps.join(reached.withColumnRenamed("node", "src"), "src", "left_semi").join(reached.withColumnRenamed("node", "dst"), "dst", "left_semi")
-            if not is_empty(topo_levels(inside.select(F.col("src").alias("from_asset"), F.col("dst").alias("to_asset"), F.lit(None).cast("timestamp_ntz").alias("superseded_at"))).filter("level is null")):
-                levels = _simple_paths(steps, seeds, depth, carry)
+    if goes_on:
+        reached = reduce(DataFrame.unionByName, [x.select("node") for x in levels], seeds.select("node")).distinct()
+        inside = steps.join(reached.withColumnRenamed("node", "src"), "src", "left_semi").join(reached.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        members = strong_components(inside)
+        if not is_empty(members) or not is_empty(inside.filter("src = dst")):
+            levels = _simple_paths(steps, members, seeds, depth, carry)
     if not levels:
         return seeds.limit(0).select(*carry, "node", F.lit(0).alias("depth"))
     return reduce(DataFrame.unionByName, [x.withColumn("depth", F.lit(i + 1)) for i, x in enumerate(levels)])

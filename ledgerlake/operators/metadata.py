@@ -59,22 +59,31 @@ def highlight(text: Column, q: str) -> Column:
     return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(terms)})(?![\p{{L}}\p{{N}}])", "<b>$1</b>")
 
 
+def asset_documents(versions: DataFrame) -> DataFrame:
+    """The newest versions with their tags as a text."""
+    return latest(versions, "asset", "created_at").withColumn("tag_text", F.array_join("tags", " "))
+
+
+def column_documents(column_edges: DataFrame) -> DataFrame:
+    """asset, column, name of the columns of active column edges."""
+    ends = column_edges.filter(F.col("superseded_at").isNull()).select(F.explode(F.array(F.struct(F.col("from_asset").alias("asset"), F.col("from_column").alias("column")), F.struct(F.col("to_asset").alias("asset"), F.col("to_column").alias("column")))).alias("c"))
+    return ends.select("c.*").distinct().withColumn("name", F.concat_ws(".", "asset", "column"))
+
+
 def search_assets(versions: DataFrame, q: str, tag: str | None = None, owner: str | None = None) -> DataFrame:
     """kind, name, title, rank over the newest versions: names weigh most, then descriptions, then owners and tags."""
-    now = latest(versions, "asset", "created_at")
+    flat = asset_documents(versions)
     if tag:
-        now = now.filter(F.array_contains("tags", tag))
+        flat = flat.filter(F.array_contains("tags", tag))
     if owner:
-        now = now.filter(F.col("owner") == owner)
-    flat = now.withColumn("tag_text", F.array_join("tags", " "))
+        flat = flat.filter(F.col("owner") == owner)
     hits = search(term_index(flat, "asset", {"asset": "A", "description": "B", "owner": "C", "tag_text": "C"}), "asset", q)
     return hits.join(flat.select("asset", "description"), "asset").select(F.lit("asset").alias("kind"), F.col("asset").alias("name"), highlight(F.col("asset"), q).alias("title"), "rank")
 
 
 def search_columns(column_edges: DataFrame, q: str) -> DataFrame:
     """kind, name, title, rank over columns of active column edges."""
-    ends = column_edges.filter(F.col("superseded_at").isNull()).select(F.explode(F.array(F.struct(F.col("from_asset").alias("asset"), F.col("from_column").alias("column")), F.struct(F.col("to_asset").alias("asset"), F.col("to_column").alias("column")))).alias("c"))
-    named = ends.select("c.*").distinct().withColumn("name", F.concat_ws(".", "asset", "column"))
+    named = column_documents(column_edges)
     hits = search(term_index(named, "name", {"column": "A", "asset": "B"}), "name", q)
     return hits.select(F.lit("column").alias("kind"), "name", highlight(F.col("name"), q).alias("title"), "rank")
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_json, fired_partition_key, partition_key, valid_category_key, valid_partition_key
+from ..functions.session import shared_dir
 from ..functions.masks import mask_hash, mask_partial, mask_redact, warehouse_mask
-from ..operators import audit, lineage, metadata, policies, quality, relational, reviews, runs, schemas
+from ..operators import audit, lineage, metadata, policies, quality, relational, reviews, runs, schemas, search_index
 from ..sources.files import read_files, type_token
 from ..streaming import monitors
 from .fixtures import base, derived, fixture, now, with_fixtures
@@ -119,6 +121,20 @@ def _reach(edges: str, start: str, down: bool = True, depth: int = 10) -> str:
                SELECT asset, depth FROM r"""
 
 
+# every nation also feeds its region, so region and nations are one component
+_CYCLIC = "SELECT from_asset, to_asset FROM fx_asset_edges WHERE superseded_at IS NULL UNION SELECT to_asset, from_asset FROM fx_asset_edges WHERE from_asset LIKE 'region:%' AND to_asset LIKE 'nation:%'"
+
+
+@query(f"""WITH RECURSIVE e AS ({_CYCLIC}),
+           r(asset, depth, path) AS (SELECT to_asset, 1, ['nation:7', to_asset] FROM e WHERE from_asset = 'nation:7'
+           UNION ALL SELECT e.to_asset, r.depth + 1, list_append(r.path, e.to_asset) FROM r JOIN e ON e.from_asset = r.asset WHERE r.depth < 10 AND NOT list_contains(r.path, e.to_asset))
+           SELECT DISTINCT asset, depth FROM r""")
+def impact_cyclic(spark, sf):
+    edges = fixture(spark, sf, "fx_asset_edges")
+    back = edges.filter("from_asset LIKE 'region:%' AND to_asset LIKE 'nation:%'").withColumns({"from_asset": F.col("to_asset"), "to_asset": F.col("from_asset")})
+    return lineage.impact_assets(edges.unionByName(back), "nation:7")
+
+
 _ACTIVE = "SELECT DISTINCT from_asset, to_asset FROM fx_asset_edges WHERE superseded_at IS NULL"
 _MOMENT = "SELECT DISTINCT from_asset, to_asset FROM fx_asset_edges WHERE first_seen_at <= TIMESTAMP '1995-01-01 00:00:00' AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '1995-01-01 00:00:00')"
 
@@ -859,9 +875,42 @@ def _rank(term: str) -> str:
     return " + ".join(f"CASE WHEN {_WORDS.format(c, term)} THEN {w} ELSE 0 END" for c, w in (("asset", 1.0), ("description", 0.4), ("owner", 0.2), ("concat('size', p_size)", 0.2)))
 
 
+_KEPT: dict[tuple, search_index.TermIndex] = {}
+
+
+def _kept(spark, sf, name, make, docs, of):
+    """The index over docs(), built once for an application and its tables as they are; of: the tables' names."""
+    when = [search_index.modified(spark, f"{sf}/{t}.parquet") for t in of]
+    at = (spark.sparkContext.applicationId, sf, name, *when)
+    if at not in _KEPT:
+        _KEPT[at] = make(f"{shared_dir(spark)}/index-{name}-{uuid.uuid4().hex}").build(docs())
+    return _KEPT[at]
+
+
+def _part_index(spark, sf):
+    return _kept(spark, sf, "parts", search_index.asset_index, lambda: metadata.asset_documents(_parts(spark, sf)), ["part"])
+
+
+def _column_index(spark, sf):
+    return _kept(spark, sf, "columns", search_index.column_index, lambda: metadata.column_documents(fixture(spark, sf, "fx_column_edges")), ["customer", "orders"])
+
+
 @query(f"WITH {_NEWEST}, r AS (SELECT asset, {_rank('large')} AS a, {_rank('promo')} AS b FROM p) SELECT asset AS name, round(a + b, 6)::DOUBLE AS rank FROM r WHERE a > 0 AND b > 0")
 def search_parts(spark, sf):
-    return metadata.search_assets(_parts(spark, sf), "LARGE promo").select("name", F.round("rank", 6).alias("rank"))
+    return search_index.found(_part_index(spark, sf), spark, "asset", "LARGE promo").select("name", F.round("rank", 6).alias("rank"))
+
+
+@query(f"WITH {_NEWEST}, r AS (SELECT asset, owner, {_rank('steel')} AS a FROM p WHERE p_size % 10 <> 0) SELECT asset AS name, round(a, 6)::DOUBLE AS rank FROM r WHERE a > 0 AND owner = 'Brand#12'")
+def search_after_update(spark, sf):
+    """An index over the first versions, then an update by the newest ones that also takes sizes of whole tens out, then a merge."""
+    parts = _parts(spark, sf)
+    first = parts.groupBy("asset").agg(F.min_by(F.struct("description", "owner", "tags"), "created_at").alias("v")).select("asset", "v.*").withColumn("tag_text", F.array_join("tags", " "))
+    newest = metadata.asset_documents(parts)
+    index = search_index.asset_index(f"{shared_dir(spark)}/index-updated-{uuid.uuid4().hex}").build(first)
+    stays = F.col("p_size") % 10 != 0
+    index.update(newest.filter(stays), newest.filter(~stays))
+    index.merge(spark)
+    return search_index.found(index, spark, "asset", "steel", owner="Brand#12").select("name", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {_NEWEST} SELECT 'tag' AS facet, concat('size', p_size) AS value FROM p UNION SELECT 'owner', owner FROM p")
@@ -873,7 +922,7 @@ def facets(spark, sf):
           SELECT name, 1.4::DOUBLE AS rank FROM n WHERE a LIKE 'nation:%' AND c = 'n_name'""")
 def search_columns(spark, sf):
     # nation is a word of the asset, name one of the column
-    return metadata.search_columns(fixture(spark, sf, "fx_column_edges"), "nation name").select("name", F.round("rank", 6).alias("rank"))
+    return search_index.found(_column_index(spark, sf), spark, "column", "nation name").select("name", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {_NEWEST} SELECT asset, owner FROM p ORDER BY p_partkey DESC LIMIT 50")
@@ -894,7 +943,7 @@ def effective_metadata(spark, sf):
 @query(f"""WITH {_NEWEST}, r AS (SELECT asset, {_rank('10')} AS w FROM p), n AS (SELECT DISTINCT a || '.' || c AS name FROM (SELECT from_asset AS a, from_column AS c FROM fx_column_edges WHERE superseded_at IS NULL UNION SELECT to_asset, to_column FROM fx_column_edges WHERE superseded_at IS NULL)),
            u AS (SELECT 'asset' AS kind, asset AS name, w AS rank FROM r WHERE w > 0 UNION ALL SELECT 'column', name, 0.4 FROM n WHERE regexp_matches(name, '^[a-z]+:10[.]')) SELECT kind, name, round(rank, 6)::DOUBLE AS rank, (SELECT count(*) FROM u) AS total FROM u ORDER BY rank DESC, name, kind LIMIT 20""")
 def search_combined(spark, sf):
-    page, total = metadata.combined(metadata.search_assets(_parts(spark, sf), "10"), metadata.search_columns(fixture(spark, sf, "fx_column_edges"), "10"))
+    page, total = metadata.combined(search_index.found(_part_index(spark, sf), spark, "asset", "10"), search_index.found(_column_index(spark, sf), spark, "column", "10"))
     return page.select("kind", "name", F.round("rank", 6).alias("rank"), F.lit(total).cast("long").alias("total"))
 
 

@@ -78,3 +78,37 @@ def test_lineage_sources(spark):
     run = spark.createDataFrame([("a", {"x": "r"}), ("b", {})], kind)
     defs = spark.createDataFrame([("a", {"x": "d"}), ("b", {"x": "d"}), ("c", None)], kind)
     assert {r.asset: r.source for r in lineage.resolve_lineage(run, defs).collect()} == {"a": "runtime", "b": "builder_default", "c": "undeclared"}
+
+
+def brute_force(pairs, start, depth):
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    got, paths = set(), [(start,)]
+    for d in range(1, depth + 1):
+        paths = [(*p, n) for p in paths for n in out.get(p[-1], ()) if n not in p]
+        got |= {(p[-1], d) for p in paths}
+    return sorted(got)
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_random_cyclic_graphs_follow_simple_paths(spark, seed):
+    import random
+
+    dice = random.Random(seed)
+    pairs = sorted({(f"n{dice.randrange(9)}", f"n{dice.randrange(9)}") for _ in range(16)} | {("n0", "n1"), ("n1", "n0")})
+    assert found(lineage.impact_assets(edges(spark, pairs), "n0", depth=6)) == brute_force(pairs, "n0", 6)
+
+
+def test_components(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("f", "g"), ("x", "x")]
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    assert found(lineage.strong_components(df)) == [("a", "c"), ("b", "c"), ("c", "c"), ("d", "e"), ("e", "e")]
+    assert found(lineage.strong_components(df.filter("src in ('e', 'f', 'x')"))) == []
+
+
+def test_a_small_cycle_in_front_of_linked_layers_carries_no_paths(spark):
+    pairs = [("a", "b"), ("b", "a")] + [("b", f"0-{i}") for i in range(50)]
+    pairs += [(f"{d}-{i}", f"{d + 1}-{j}") for d in range(11) for i in range(50) for j in range(50)]
+    out = lineage.impact_assets(edges(spark, pairs), "a", depth=12)
+    assert out.groupBy("depth").count().filter("depth > 1 and count <> 50").count() == 0 and out.count() == 1 + 11 * 50
