@@ -900,7 +900,7 @@ def search_parts(spark, sf):
     return search_index.found(_part_index(spark, sf), spark, "asset", "LARGE promo").select("name", F.round("rank", 6).alias("rank"))
 
 
-@query(f"WITH {_NEWEST}, r AS (SELECT asset, owner, {_rank('steel')} AS a FROM p WHERE p_size % 10 <> 0) SELECT asset AS name, round(a, 6)::DOUBLE AS rank FROM r WHERE a > 0 AND owner = 'Brand#12'")
+@query(f"WITH {_NEWEST}, r AS (SELECT asset, owner, {_rank('promo')} AS a FROM p WHERE p_size % 10 <> 0) SELECT asset AS name, round(a, 6)::DOUBLE AS rank FROM r WHERE a > 0 AND owner = 'Brand#4'")
 def search_after_update(spark, sf):
     """An index over the first versions, then an update by the newest ones that also takes sizes of whole tens out, then a merge."""
     parts = _parts(spark, sf)
@@ -910,7 +910,7 @@ def search_after_update(spark, sf):
     stays = F.col("p_size") % 10 != 0
     index.update(newest.filter(stays), newest.filter(~stays))
     index.merge(spark)
-    return search_index.found(index, spark, "asset", "steel", owner="Brand#12").select("name", F.round("rank", 6).alias("rank"))
+    return search_index.found(index, spark, "asset", "promo", owner="Brand#4").select("name", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {_NEWEST} SELECT 'tag' AS facet, concat('size', p_size) AS value FROM p UNION SELECT 'owner', owner FROM p")
