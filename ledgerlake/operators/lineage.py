@@ -192,20 +192,66 @@ def upstream_closure(edges: DataFrame, target: str) -> DataFrame:
     return reduce(DataFrame.unionByName, levels, start).select(F.col("node").alias("asset")).distinct()
 
 
+def _followed(links: DataFrame) -> DataFrame:
+    """links (node, up, w, base: a level of base at least, and w above up's) with `up` followed to the first node that is no link, and `ends`, false where that never comes.
+
+    Pointers double, so a chain takes as many rounds as the logarithm of its length.  While a node at a finite
+    distance is open, one comes to its end in every round; what is open when none does is on a loop of links, or behind one.
+    """
+    tops = links.select(F.col("node").alias("up"), F.lit(False).alias("ends"))
+    now = stored(links.join(tops, "up", "left").select("node", "up", "w", "base", F.coalesce("ends", F.lit(True)).alias("ends")), "links")
+    left, before = now.filter("not ends").count(), None
+    while left and left != before:
+        hop = now.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("w").alias("more"), F.col("base").alias("low"), F.col("ends").alias("over"))
+        open_ = now.filter("not ends").drop("ends").join(hop, "up")
+        moved = open_.select("node", F.col("far").alias("up"), (F.col("w") + F.col("more")).alias("w"), F.greatest("base", F.col("low") + F.col("w")).alias("base"), F.col("over").alias("ends"))
+        now = stored(now.filter("ends").unionByName(moved), "links")
+        left, before = now.filter("not ends").count(), left
+    return now
+
+
 def topo_levels(edges: DataFrame) -> DataFrame:
-    """asset, level: the longest path from a root; null for assets on a cycle or behind one."""
-    steps = stored(active(edges).select(F.col("from_asset").alias("src"), F.col("to_asset").alias("dst")).distinct())
-    left = stored(steps.select(F.col("src").alias("asset")).unionByName(steps.select(F.col("dst").alias("asset"))).distinct())
-    done, level = [], 0
+    """asset, level: the longest path from a root; null for assets on a cycle or behind one.  Edges without one of their ends say nothing.
+
+    Each round settles the nodes that nothing open leads to, and contracts those that one node leads to: such a
+    node's level is max(base, level of the other + w), and these compose, so whole trees and chains go at once, by
+    pointer doubling.  What they led to is led to by where they hang, and by a base; links of the same two ends become
+    one, so that parallel chains contract further.  Rounds grow with the depth of joins in joins, not with path lengths.
+    Contracted nodes take their levels at the end, last round first.
+    """
+    steps = stored(active(edges).filter("from_asset is not null and to_asset is not null").select(F.col("from_asset").alias("src"), F.col("to_asset").alias("dst"), F.lit(1).cast("long").alias("w")).distinct())
+    nodes = steps.select(F.col("src").alias("node")).unionByName(steps.select(F.col("dst").alias("node"))).distinct().withColumn("base", F.lit(0).cast("long"))
+    kind, known, hung = dict(steps.dtypes)["src"], [], []
     while True:
-        ready = stored(left.join(steps.select(F.col("dst").alias("asset")), "asset", "left_anti"))
-        if is_empty(ready):
+        ups = steps.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("src", "w")).alias("one"))
+        placed = stored(nodes.join(ups, "node", "left").select("node", "base", F.coalesce("n", F.lit(0)).alias("n"), F.col("one.src").alias("up"), F.col("one.w").alias("w")), "placed")
+        ready, links = placed.filter("n = 0").select("node", F.col("base").alias("level")), placed.filter("n = 1").select("node", "up", "w", "base")
+        moves = ready.select("node", "level", F.lit(None).cast(kind).alias("up"), F.lit(None).cast("long").alias("w"), F.lit(None).cast("long").alias("base"))
+        if not is_empty(links):
+            followed = _followed(links)
+            # a loop, and what hangs on one alone, has no level; edges out of it stay and are never settled
+            known.append(followed.filter("not ends").select("node", F.lit(None).cast("long").alias("level")))
+            roots = ready.select(F.col("node").alias("up"), F.col("level").alias("top"))
+            level = F.greatest("base", F.when(F.col("top").isNotNull(), F.col("top") + F.col("w")))
+            tied = followed.filter("ends").join(roots, "up", "left").select("node", F.when(F.col("top").isNotNull(), level).alias("level"), "up", "w", "base")
+            moves = stored(moves.unionByName(tied), "moves")
+            hung.append(moves.filter("level is null").select("node", "up", "w", "base"))
+        elif is_empty(ready):
             break
-        done.append(ready.withColumn("level", F.lit(level)))
-        left = stored(left.join(ready, "asset", "left_anti"))
-        steps = stored(steps.join(ready.withColumnRenamed("asset", "src"), "src", "left_anti"))
-        level += 1
-    return reduce(DataFrame.unionByName, [*done, left.withColumn("level", F.lit(None).cast("int"))])
+        known.append(moves.filter("level is not null").select("node", "level"))
+        rest = placed.filter("n > 1").select("node", "base")
+        into = moves.select(F.col("node").alias("src"), "level", "up", F.col("w").alias("more"), F.col("base").alias("low"))
+        hit = stored(steps.join(rest.select(F.col("node").alias("dst")), "dst", "left_semi").join(into, "src", "left"), "hits")
+        told = hit.groupBy(F.col("dst").alias("node")).agg(F.max(F.coalesce("level", "low") + F.col("w")).alias("told"))
+        nodes = rest.join(told, "node", "left").select("node", F.greatest("base", "told").alias("base"))
+        steps = hit.filter("level is null").groupBy(F.coalesce("up", "src").alias("src"), "dst").agg(F.max(F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+    levels = reduce(DataFrame.unionByName, known, placed.select("node", F.lit(None).cast("long").alias("level")))
+    for links in reversed(hung):
+        if not is_empty(links):
+            tops = levels.select(F.col("node").alias("up"), F.col("level").alias("top"))
+            found = links.join(tops, "up", "left").select("node", F.when(F.col("top").isNotNull(), F.greatest("base", F.col("top") + F.col("w"))).alias("level"))
+            levels = levels.unionByName(stored(found, "levels"))
+    return levels.select(F.col("node").alias("asset"), F.col("level").cast("int").alias("level"))
 
 
 # ---- upkeep: each returns the new table -----------------------------------------------------------------

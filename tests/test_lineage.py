@@ -54,6 +54,52 @@ def test_levels_and_cycles(spark):
     assert out == {"a": 0, "b": 1, "c": 2, "x": None, "y": None, "z": None}
 
 
+def longest_paths(pairs):
+    """Levels by peeling roots one layer at a time."""
+    nodes, ups = {n for p in pairs for n in p}, {}
+    for a, b in pairs:
+        ups.setdefault(b, set()).add(a)
+    out = {}
+    while ready := [n for n in nodes if n not in out and ups.get(n, set()) <= out.keys()]:
+        out |= {n: max((out[u] + 1 for u in ups.get(n, ())), default=0) for n in ready}
+    return {n: out.get(n) for n in nodes}
+
+
+def test_levels_agree_with_peeling_on_random_graphs(spark):
+    import random
+
+    pick = random.Random(5)
+    for shape in range(6):
+        pairs = set()
+        for g in range(4):  # graphs beside each other, sparse and dense ones
+            n = pick.choice([4, 12, 25])
+            for _ in range(pick.choice([n // 2, n, 2 * n])):
+                a, b = pick.sample(range(n), 2)
+                if shape < 3 or pick.random() < 0.85:
+                    a, b = min(a, b), max(a, b)
+                pairs.add((f"{g}-{a:02}", f"{g}-{b:02}"))
+        got = {r.asset: r.level for r in lineage.topo_levels(edges(spark, sorted(pairs))).collect()}
+        assert got == longest_paths(pairs), shape
+
+
+def test_levels_of_long_chains_take_few_rounds(spark, monkeypatch):
+    # two chains of 1,500 that part and meet, a tail of 500 behind them, and a loop with a tail of its own
+    left, right = ([f"{side}{i}" for i in range(1500)] for side in "lr")
+    pairs = [*zip(left, left[1:]), *zip(right, right[1:]), ("l0", "r0"), (left[-1], "t0"), (right[-1], "t0")]
+    pairs += [(f"t{i}", f"t{i + 1}") for i in range(500)] + [(f"c{i}", f"c{(i + 1) % 7}") for i in range(7)] + [("c3", "d0"), ("d0", "d1"), ("t9", "d1")]
+    written = []
+    monkeypatch.setattr(lineage, "stored", lambda df, name="step", keep=lineage.stored: written.append(name) or keep(df, name))
+    got = {r.asset: r.level for r in lineage.topo_levels(edges(spark, pairs)).collect()}
+    assert (got["l0"], got["l1499"], got["r0"], got["r1499"], got["t0"], got["t500"]) == (0, 1499, 1, 1500, 1501, 2001)
+    assert all(got[n] is None for n in ("c0", "c6", "d0", "d1"))
+    assert len(written) < 50
+
+
+def test_levels_of_no_edges_and_of_edges_without_an_end(spark):
+    assert found(lineage.topo_levels(edges(spark, []))) == []
+    assert found(lineage.topo_levels(edges(spark, [("a", "b"), (None, "b"), ("b", None)]))) == [("a", 0), ("b", 1)]
+
+
 def test_sync_retires_touches_and_adds(spark):
     old = edges(spark, [("a", "t"), ("b", "t"), ("q", "other")]).selectExpr("from_asset", "to_asset", "'h0' code_hash_first", "'h0' code_hash_latest", "first_seen_at", "first_seen_at last_seen_at", "superseded_at")
     told = spark.createDataFrame([("t", ["a", "c"], "h1"), ("other", [], "h1")], "asset string, upstreams array<string>, code_hash string")
