@@ -32,32 +32,79 @@ def write_files(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     writer.save(path)
 
 
-def _quoted(table: str) -> str:
-    parts = table.split(".")
-    if not 1 <= len(parts) <= 3 or not all(p and p.replace("_", "a").isalnum() for p in parts):
-        raise ValueError(f"not a table name: {table!r}")
-    return ".".join(parts)
+def _quoted(spark: SparkSession, url: str, name: str, parts: int = 1) -> str:
+    """A name as the database quotes it, taken letter for letter; a table's may have up to three parts, with dots between."""
+    split = name.split(".") if parts > 1 else [name]
+    if len(split) > parts or not all(split) or any(c in name for c in "\"`[];\0"):
+        raise ValueError(f"not a name: {name!r}")
+    dialect = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
+    return ".".join(dialect.quoteIdentifier(p) for p in split)
+
+
+BUCKETS = 64  # of a histogram, for each slice
+
+
+def jdbc_slices(spark: SparkSession, url: str, table: str, column: str, partitions: int, **options: str) -> list[str]:
+    """Predicates that cut a table along a numeric column into at most `partitions` slices of about as many rows each, nulls in the first.
+
+    The database counts rows in BUCKETS equal widths a slice and returns the counts alone; cuts lie between buckets, so a
+    narrow crowd of values stays together.  Every row meets exactly one predicate, also rows that arrive in the meantime.
+    """
+
+    def ask(sql: str) -> DataFrame:
+        return spark.read.format("jdbc").options(url=url, query=sql, **options).load()
+
+    of, c = _quoted(spark, url, table, 3), _quoted(spark, url, column)
+    kinds = {f.name: f.dataType for f in ask(f"SELECT {c} FROM {of}").schema.fields}
+    if not isinstance(kinds[column], T.NumericType):
+        raise ValueError(f"{column} is no number: name bounds")
+    low, high = ask(f"SELECT MIN({c}) AS low, MAX({c}) AS high FROM {of}").first()
+    if low is None or low == high or partitions < 2:
+        return ["1 = 1"]
+    low, width = float(low), (float(high) - float(low)) / (BUCKETS * partitions)
+    inner = f"SELECT FLOOR(({c} - ({low!r})) / {width!r}) AS bucket FROM {of} WHERE {c} IS NOT NULL"
+    counts = sorted((int(b), int(n)) for b, n in ask(f"SELECT bucket, COUNT(*) AS n FROM ({inner}) counted GROUP BY bucket").collect())
+    total, run, due, cuts = sum(n for _, n in counts), 0, 1, []
+    for bucket, n in counts[:-1]:
+        run += n
+        if run * partitions >= total * due:
+            cuts.append(low + (bucket + 1) * width)
+            due = run * partitions // total + 1
+    if not cuts:
+        return ["1 = 1"]
+    between = [f"{c} >= {x!r} AND {c} < {y!r}" for x, y in zip(cuts, cuts[1:])]
+    return [f"{c} < {cuts[0]!r} OR {c} IS NULL", *between, f"{c} >= {cuts[-1]!r}"]
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, part_col: str | None = None, bounds: tuple | None = None, partitions: int = 8, limit: int = 0, **options: str) -> DataFrame:
-    """A database table; with part_col and bounds it is read in parallel slices."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=_quoted(table), **options)
-    if part_col:
-        low, high = bounds or (0, partitions)
-        reader = reader.options(partitionColumn=part_col, lowerBound=str(low), upperBound=str(high), numPartitions=str(partitions))
-    df = reader.load()
+    """A database table; with part_col it is read in parallel slices, of equal widths between bounds where these are given, else of about equal counts."""
+    of = _quoted(spark, url, table, 3)
+    if part_col and bounds is None:
+        df = spark.read.jdbc(url, of, predicates=jdbc_slices(spark, url, table, part_col, partitions, **options), properties=options)
+    else:
+        reader = spark.read.format("jdbc").options(url=url, dbtable=of, **options)
+        if part_col:
+            reader = reader.options(partitionColumn=part_col, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions))
+        df = reader.load()
     return df.limit(limit) if limit > 0 else df
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, batch: int = 10_000, **options: str) -> None:
-    df.write.format("jdbc").options(url=url, dbtable=_quoted(table), batchsize=str(batch), **options).mode("append").save()
+    df.write.format("jdbc").options(url=url, dbtable=_quoted(df.sparkSession, url, table, 3), batchsize=str(batch), **options).mode("append").save()
+
+
+def _plain(table: str) -> str:
+    parts = table.split(".")
+    if not 1 <= len(parts) <= 3 or not all(p and p.replace("_", "a").isalnum() for p in parts):
+        raise ValueError(f"not a table name: {table!r}")
+    return table
 
 
 def read_warehouse(spark: SparkSession, kind: str, table: str, limit: int = 0, **options: str) -> DataFrame:
     """BigQuery or Snowflake through their Spark connectors, which have to be on the class path."""
     if kind not in ("bigquery", "snowflake"):
         raise ValueError(f"unknown warehouse {kind!r}")
-    df = spark.read.format(kind).options(**({"table": table} if kind == "bigquery" else {"dbtable": _quoted(table)}), **options).load()
+    df = spark.read.format(kind).options(**({"table": table} if kind == "bigquery" else {"dbtable": _plain(table)}), **options).load()
     return df.limit(limit) if limit > 0 else df
 
 
