@@ -7,6 +7,16 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def serial(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """df with `__key`, text of key that is never null: rows of a key lie in one partition, one behind the other in the given order (nulls last).
+
+    For folds by mapInPandas that carry their state from batch to batch: the sort spills, and no more than a batch is ever in Python.
+    """
+    named = df.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    return named.repartition("__key").sortWithinPartitions("__key", *[F.col(c).asc_nulls_last() for c in order])
 
 
 def ship(spark: SparkSession) -> None:
@@ -15,13 +25,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset and all run on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="ledgerlake-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import big_endian
+from ..functions.session import serial
 
 GENESIS = bytes(32)
 BODY = ["occurred_at", "event_type", "actor_id", "resource_type", "resource_id", "payload"]
@@ -32,26 +34,29 @@ def self_hash(seq: Column, prev: Column, body: Column) -> Column:
 def append_audit(log: DataFrame, entries: DataFrame) -> DataFrame:
     """log with the entries chained behind each chain_key's last row, in the order of occurred_at and entry_id.
 
-    A chain is serial, so each key is one fold; spread events over many keys.
+    A chain is serial, so it is folded in one task, batch by batch with the last hash carried on, in memory that does not grow
+    with it; spread events over many keys.  Entries without a key are one chain, which has no earlier rows.
     """
     heads = log.groupBy("chain_key").agg(F.max_by(F.struct("seq", "self_hash"), "seq").alias("head"))
     bodies = entries.withColumn("__body", entry_body(_nanos(F.col("occurred_at")))).join(heads, "chain_key", "left")
     ready = bodies.select("chain_key", "entry_id", *BODY, "__body", F.coalesce(F.col("head.seq"), F.lit(0)).alias("__seq"), F.coalesce(F.col("head.self_hash"), F.lit(GENESIS)).alias("__prev"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["occurred_at", "entry_id"])
-        seq, prev = int(pdf["__seq"].iloc[0]), bytes(pdf["__prev"].iloc[0])
-        seqs, prevs, selves = [], [], []
-        for body in pdf["__body"]:
-            seq += 1
-            own = hashlib.sha256(seq.to_bytes(8, "big") + prev + bytes(body)).digest()
-            seqs.append(seq), prevs.append(prev), selves.append(own)
-            prev = own
-        return pdf.assign(seq=seqs, prev_hash=prevs, self_hash=selves)[["chain_key", "seq", "prev_hash", "self_hash", *BODY]]
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, seq, prev = None, 0, GENESIS
+        for pdf in batches:
+            seqs, prevs, selves = [], [], []
+            for key, body, head_seq, head_hash in zip(pdf["__key"], pdf["__body"], pdf["__seq"], pdf["__prev"], strict=True):
+                if key != chain:
+                    chain, seq, prev = key, int(head_seq), bytes(head_hash)
+                seq += 1
+                own = hashlib.sha256(seq.to_bytes(8, "big") + prev + bytes(body)).digest()
+                seqs.append(seq), prevs.append(prev), selves.append(own)
+                prev = own
+            yield pdf.assign(seq=seqs, prev_hash=prevs, self_hash=selves)[["chain_key", "seq", "prev_hash", "self_hash", *BODY]]
 
     kinds = dict(entries.dtypes)
     schema = f"chain_key {kinds['chain_key']}, seq long, prev_hash binary, self_hash binary, " + ", ".join(f"{c} {kinds[c]}" for c in BODY)
-    new = ready.groupBy("chain_key").applyInPandas(fold, schema)
+    new = serial(ready, "chain_key", "occurred_at", "entry_id").mapInPandas(fold, schema)
     return log.select(*new.columns).unionByName(new)
 
 

@@ -799,12 +799,12 @@ def routed_events(spark, sf):
 
 
 _APPROVE = "SELECT DISTINCT p_brand AS asset, CASE WHEN p_brand LIKE '%3' THEN 'pending' ELSE 'clean' END AS drift_status, p_brand LIKE '%5' AS require_human_review FROM part"
-_BRAND_META = "SELECT p_brand AS asset, concat('c', CAST(p_partkey % 23 AS VARCHAR(20))) AS column_name, CASE WHEN min(p_partkey) % 9 = 0 THEN 'pii' ELSE 'plain' END AS tag FROM part WHERE p_brand < 'Brand#4' GROUP BY p_brand, concat('c', CAST(p_partkey % 23 AS VARCHAR(20)))"
-_BRAND_POLICIES = "SELECT DISTINCT p_brand AS asset, concat('c', CAST(p_partkey % 23 AS VARCHAR(20))) AS column_name, false AS superseded FROM part WHERE p_brand < 'Brand#3'"
+_BRAND_META = "SELECT p_brand AS asset, concat('c', CAST(p_partkey % 23 AS VARCHAR(20))) AS column_name, CASE WHEN min(p_partkey) % 9 = 0 THEN 'pii' ELSE 'plain' END AS tag FROM part GROUP BY p_brand, concat('c', CAST(p_partkey % 23 AS VARCHAR(20)))"
+_BRAND_POLICIES = "SELECT DISTINCT p_brand AS asset, concat('c', CAST(p_partkey % 23 AS VARCHAR(20))) AS column_name, p_brand >= 'Brand#3' AS superseded FROM part"
 _FEW_RULES = "SELECT p_brand AS asset, concat('rule_', CAST(p_partkey AS VARCHAR(20))) AS rule_name, 'null_check' AS rule_type, concat('{\"column\":\"c', CAST(p_partkey % 23 + CASE WHEN p_partkey % 97 = 0 THEN 50 ELSE 0 END AS VARCHAR(20)), '\"}') AS config FROM part"
 
 
-@query(f"""WITH {_DIFF}, v AS ({_APPROVE}), brk AS (SELECT DISTINCT asset FROM (SELECT *, prev_type AS a, new_type AS b FROM d) WHERE version = 3 AND kind = 'column_dropped'), m AS ({_BRAND_META}), q AS ({_BRAND_POLICIES}), r AS ({_FEW_RULES}),
+@query(f"""WITH {_DIFF}, v AS ({_APPROVE}), brk AS (SELECT DISTINCT asset FROM (SELECT *, prev_type AS a, new_type AS b FROM d) WHERE version = 3 AND kind = 'column_dropped'), m AS ({_BRAND_META}), q AS (SELECT * FROM ({_BRAND_POLICIES}) WHERE NOT superseded), r AS ({_FEW_RULES}),
            cov AS (SELECT m.asset, bool_or(tag = 'pii') AS has_pii, bool_or(tag = 'pii' AND q.asset IS NULL) AS bare FROM m LEFT JOIN q ON m.asset = q.asset AND m.column_name = q.column_name GROUP BY 1),
            mis AS (SELECT r.asset, min(json_extract_string(config, '$.column')) AS c FROM r WHERE NOT EXISTS (SELECT 1 FROM fx_schema_columns s WHERE s.asset = r.asset AND s.column_name = json_extract_string(r.config, '$.column')) GROUP BY 1),
            f AS (SELECT v.*, brk.asset IS NOT NULL AS b, coalesce(bare, false) AS bare, coalesce(has_pii, false) AS has_pii, c FROM v LEFT JOIN brk USING (asset) LEFT JOIN cov USING (asset) LEFT JOIN mis USING (asset)),
@@ -956,7 +956,7 @@ def merged_tags(spark, sf):
     return metadata.put_metadata(row.select(*kind), put.select(*kind)).filter("id = 2").select("asset", ordered("tags"))
 
 
-_REPORTED = "SELECT concat('customer:', CAST(o_custkey AS VARCHAR(20))) AS from_asset, 'c_name' AS from_column, concat('order:', CAST(o_orderkey AS VARCHAR(20))) AS to_asset, 'o_totalprice' AS to_column FROM orders WHERE o_orderkey % 4 = 0"
+_REPORTED = "SELECT concat('customer:', CAST(o_custkey AS VARCHAR(20))) AS from_asset, 'c_name' AS from_column, concat('order:', CAST(o_orderkey AS VARCHAR(20))) AS to_asset, CASE WHEN o_orderkey % 4 = 0 THEN 'o_totalprice' ELSE 'o_clerk' END AS to_column FROM orders"
 
 
 @query(f"""WITH a AS ({_HELD}), w AS ({_REPORTED}) SELECT coalesce(a.from_asset, w.from_asset) AS from_asset, coalesce(a.from_column, w.from_column) AS from_column, coalesce(a.to_asset, w.to_asset) AS to_asset, coalesce(a.to_column, w.to_column) AS to_column, a.from_asset IS NULL AS added, w.from_asset IS NOT NULL AS seen
@@ -988,7 +988,7 @@ def registered_versions(spark, sf):
 @query("""SELECT from_asset, to_asset, CASE WHEN superseded_at IS NULL AND to_asset LIKE 'order:%0' THEN 'run-' || to_asset END AS last_seen_run_id FROM fx_asset_edges""")
 def attributed_runs(spark, sf):
     e = fixture(spark, sf, "fx_asset_edges").withColumns({"first_seen_run_id": F.lit(lineage.ZERO_RUN), "last_seen_run_id": F.lit(None).cast("string")})
-    r = derived(spark, sf, "SELECT concat('order:', CAST(o_orderkey AS VARCHAR(20))) AS asset FROM orders WHERE o_orderkey % 10 = 0").withColumn("run_id", F.concat(F.lit("run-"), "asset"))
+    r = derived(spark, sf, "SELECT concat('order:', CAST(o_orderkey AS VARCHAR(20))) AS asset, CASE WHEN o_orderkey % 10 = 0 THEN concat('run-order:', CAST(o_orderkey AS VARCHAR(20))) END AS run_id FROM orders")
     return lineage.attribute_run(e, r).select("from_asset", "to_asset", "last_seen_run_id")
 
 
@@ -1022,12 +1022,25 @@ def acknowledged_changes(spark, sf):
     return schemas.ack_changes(c, acks, now())[0].select("asset", "version", "kind", "column_name", F.col("acknowledged_by").isNotNull().alias("acked"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY ts, event_id) AS k FROM fx_sensor_evals),
+    w(sensor, k, event_id, last_key, until, failures, off, outcome) AS (
+        SELECT DISTINCT sensor, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), 0, false, '' FROM n
+        UNION ALL
+        SELECT sensor, k, event_id, CASE WHEN said = 'fired' THEN run_key ELSE last_key END, CASE WHEN said = 'fired' THEN CAST(ts AS TIMESTAMP) + INTERVAL 3600 SECOND ELSE until END,
+               CASE WHEN off THEN failures WHEN errored THEN failures + 1 ELSE 0 END, off OR said = 'disabled_now', said
+        FROM (SELECT n.*, w.last_key, w.until, w.failures, w.off,
+                     CASE WHEN w.off THEN 'disabled' WHEN n.errored AND w.failures + 1 >= 60 THEN 'disabled_now' WHEN n.errored THEN 'evaluation_failed' WHEN NOT n.fired THEN 'evaluated'
+                          WHEN n.run_key = w.last_key THEN 'dedup_skipped' WHEN n.ts < w.until THEN 'cooldown_skipped' ELSE 'fired' END AS said
+              FROM w JOIN n ON n.sensor = w.sensor AND n.k = w.k + 1) AS x)
+    SELECT sensor, event_id, outcome FROM w WHERE k > 0""")
 def sensor_firings(spark, sf):
     return monitors.sensor_firings(fixture(spark, sf, "fx_sensor_evals"), 3600)
 
 
-@query()
+@query(f"""WITH p AS (SELECT * FROM ({_PART_VERSIONS}) QUALIFY row_number() OVER (PARTITION BY asset ORDER BY p_partkey DESC) = 1)
+           SELECT asset, sha256(concat('{{"asset":"', asset, '","description":"', description, '","owner":"', owner, '","upstreams":["', owner, '"],"tags":["size', p_size, '"],"columns":[{{"name":"', description, '","refs":["', owner,
+                  '"]}}],"policies":[{{"column":"', description, '","mask":"hash","roles":["a","b"]}}],"rules":[{{"name":"r","config":"{{}}"}}]}}')) AS code_hash FROM p""")
 def code_hashes(spark, sf):
-    rows = _parts(spark, sf).select("asset", "description", "owner", F.array("owner").alias("upstreams"), "tags", F.array(F.struct(F.col("description").alias("name"), F.array("owner").alias("refs"))).alias("columns"), F.array(F.struct(F.col("description").alias("column"), F.lit("hash").alias("mask"), F.array(F.lit("b"), F.lit("a")).alias("roles"), F.lit("why").alias("reason"))).alias("policies"), F.array(F.struct(F.lit("r").alias("name"), F.lit("{}").alias("config"))).alias("rules"))
-    return schemas.code_hash(relational.latest(rows, "asset", "description"))
+    newest = relational.latest(_parts(spark, sf), "asset", "p_partkey")
+    rows = newest.select("asset", "description", "owner", F.array("owner").alias("upstreams"), "tags", F.array(F.struct(F.col("description").alias("name"), F.array("owner").alias("refs"))).alias("columns"), F.array(F.struct(F.col("description").alias("column"), F.lit("hash").alias("mask"), F.array(F.lit("b"), F.lit("a")).alias("roles"), F.lit("why").alias("reason"))).alias("policies"), F.array(F.struct(F.lit("r").alias("name"), F.lit("{}").alias("config"))).alias("rules"))
+    return schemas.code_hash(rows)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.session import serial
 from ..operators.policies import apply_masks
 from ..operators.quality import evaluate
 from ..operators.relational import split_valid_events
@@ -69,14 +70,19 @@ SENSOR_OUT = "sensor string, event_id long, outcome string"
 
 
 def sensor_firings(evaluations: DataFrame, cooldown_seconds: float, disable_after: int = DISABLE_AFTER) -> DataFrame:
-    """sensor, event_id, outcome of evaluations (sensor, event_id, ts, fired, run_key, errored) in order of time; one group a sensor."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        _, outcomes = _sensor_rows(pdf, SENSOR_START, cooldown_seconds, disable_after)
-        return pd.DataFrame({"sensor": pdf["sensor"], "event_id": pdf["event_id"], "outcome": outcomes})
-
-    return evaluations.select("sensor", "event_id", "ts", "fired", "run_key", "errored").groupBy("sensor").applyInPandas(fold, SENSOR_OUT)
+    """sensor, event_id, outcome of evaluations (sensor, event_id, ts, fired, run_key, errored) in order of time; a sensor's state is carried from batch to batch, so its history never lies in memory."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sensor, state = None, SENSOR_START
+        for pdf in batches:
+            for key, rows in pdf.groupby("__key", sort=False):
+                if key != sensor:
+                    sensor, state = key, SENSOR_START
+                state, outcomes = _sensor_rows(rows, state, cooldown_seconds, disable_after)
+                yield pd.DataFrame({"sensor": rows["sensor"], "event_id": rows["event_id"], "outcome": outcomes})
+
+    needed = evaluations.select("sensor", "event_id", "ts", "fired", "run_key", "errored")
+    return serial(needed, "sensor", "ts", "event_id").mapInPandas(fold, SENSOR_OUT)
 
 
 def sensor_stream(evaluations: DataFrame, cooldown_seconds: float, disable_after: int = DISABLE_AFTER) -> DataFrame:

@@ -165,6 +165,24 @@ def test_audit_chain_finds_changes_and_gaps(spark):
     assert audit.verify_audit(log, 5, 6).filter("chain_key = 'k'").first().scanned == 2
 
 
+def test_chains_are_carried_over_batches(spark):
+    n = 500
+    rows = [(f"k{i % 3}" if i % 10 else None, i, datetime(2024, 1, 1 + i % 28), "policy.changed", "me", "column", "c", str(i)) for i in range(n)]
+    entries = spark.createDataFrame(rows, "chain_key string, entry_id long, occurred_at timestamp_ntz, event_type string, actor_id string, resource_type string, resource_id string, payload string")
+    none = spark.createDataFrame([], "chain_key string, seq long, prev_hash binary, self_hash binary, occurred_at timestamp_ntz, event_type string, actor_id string, resource_type string, resource_id string, payload string")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = audit.append_audit(none, entries).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    for chain in (None, "k0", "k1", "k2"):
+        log = sorted((r for r in got if r.chain_key == chain), key=lambda r: r.seq)
+        want = sorted((r[2], r[1]) for r in rows if r[0] == chain)
+        assert [r.seq for r in log] == list(range(1, len(want) + 1)) and [int(r.payload) for r in log] == [e for _, e in want]
+        assert bytes(log[0].prev_hash) == audit.GENESIS and all(a.self_hash == b.prev_hash for a, b in zip(log, log[1:]))
+
+
 def test_tally(spark):
     kind = "review_id int, submitter_id int, decider_id int, vote string, comment string, quorum int, pool_size int, voted_at int, vote_id int"
     rows = [(1, 1, 1, "approve", "", 1, 3, 1, 1), (2, 1, 2, "approve", "", 2, 3, 1, 2), (2, 1, 2, "approve", "", 2, 3, 2, 3), (3, 1, 2, "reject", " ", 1, 3, 1, 4), (3, 1, 3, "reject", "no", 1, 3, 2, 5), (4, 1, 2, "approve", "", -1, 2, 1, 6), (4, 1, 3, "approve", "", -1, 2, 2, 7), (4, 1, 4, "reject", "late", -1, 2, 3, 8)]

@@ -64,3 +64,16 @@ def test_freshness_stream(spark, tmp_path):
     out = run(monitors.freshness_stream(stream, 3600), "fresh", checkpointLocation=f"{tmp_path}/cp")
     got = {(r.asset_name, r.breached_at) for r in out.collect()}
     assert ("a", datetime(2024, 1, 1, 1)) in got
+
+
+def test_sensor_state_is_carried_over_batches(spark):
+    rows = [(f"s{i % 2}", i, 60 * i, i % 3 == 0, f"k{i // 40}", i % 11 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "sensor string, event_id long, at long, fired boolean, run_key string, errored boolean").withColumn("ts", F.timestamp_seconds("at").cast("timestamp_ntz"))
+    whole = sorted(map(tuple, monitors.sensor_firings(df, 600, 5).collect()))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, monitors.sensor_firings(df, 600, 5).collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert len({r[2] for r in whole}) >= 4
