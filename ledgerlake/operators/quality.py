@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,25 +108,45 @@ def _fused(df: DataFrame, rules: list, keys: list[str]) -> DataFrame:
     return grouped.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
 
 
+# what a rule itself can get wrong; a lost connection or an aborted job is none of these, and goes on to the caller
+RULE_ERRORS = (PySparkException, ValueError, TypeError, KeyError, AttributeError)
+
+
+def _failed(run_id: str, rule, e: Exception) -> tuple:
+    return (run_id, rule.name, rule.kind, ERROR, None, None, str(e).splitlines()[0] if str(e) else type(e).__name__)
+
+
+def _run_together(df: DataFrame, rules: list, run_id: str) -> list[tuple]:
+    """Rows of aggregating rules from one scan; if that fails, of each half by itself, so a rule that fails on data costs a few scans more and no other rule its result."""
+    if not rules:
+        return []
+    try:
+        return [(run_id, *r) for r in _fused(df, rules, []).collect()]
+    except RULE_ERRORS as e:
+        if len(rules) == 1:
+            return [_failed(run_id, rules[0], e)]
+        half = len(rules) // 2
+        return _run_together(df, rules[:half], run_id) + _run_together(df, rules[half:], run_id)
+
+
 def evaluate(df: DataFrame, rules: list, run_id: str) -> DataFrame:
     """A result row for each rule.
 
-    Null and range checks share one scan, which runs when the result is read; they cannot fail on data.  Each
-    assertion, and each aggregating rule of a caller's own, is run here by itself: one that cannot be analysed
-    or fails at run time gives a row with its error, and the others are not touched by it.
+    Null and range checks share one scan, which runs when the result is read; they cannot fail on data.
+    Aggregating rules of a caller's own share one scan that is run here, as they may fail, and each assertion is a query of its own.  A rule
+    that cannot be analysed or fails at run time gives a row with its error, and the others are not touched by it.
     """
-    spark, fit, rows = df.sparkSession, [], []
+    spark, fit, own, rows = df.sparkSession, [], [], []
     for rule in rules:
         try:
-            if isinstance(rule, (NullCheck, RangeCheck)):
-                df.agg(*rule.aggregates())  # is analysed, not run
-                fit.append(rule)
-            elif hasattr(rule, "aggregates"):
-                rows.append((run_id, *_fused(df, [rule], []).first()))
+            if hasattr(rule, "aggregates"):
+                _fused(df, [rule], [])  # is analysed, not run
+                (fit if isinstance(rule, (NullCheck, RangeCheck)) else own).append(rule)
             else:
                 rows.append((run_id, rule.name, rule.kind, *rule.result(df).select("status", "measured_value", "threshold").first(), None))
-        except Exception as e:
-            rows.append((run_id, rule.name, rule.kind, ERROR, None, None, str(e).splitlines()[0]))
+        except RULE_ERRORS as e:
+            rows.append(_failed(run_id, rule, e))
+    rows += _run_together(df, own, run_id)
     known = spark.createDataFrame(rows, RESULT)
     if not fit:
         return known
