@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,5 +47,10 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str | Column, rows: int = 250_000) -> DataFrame:
+    """df by keys in as many partitions as its rows need, so that what a task holds does not grow with the table; df is counted for that."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ordered_union
+from ..functions.session import dealt, stored
 from .relational import latest
 
 TERM = r"[^\p{L}\p{N}]+"
@@ -66,8 +67,10 @@ def asset_documents(versions: DataFrame) -> DataFrame:
 
 def column_documents(column_edges: DataFrame) -> DataFrame:
     """asset, column, name of the columns of active column edges."""
-    ends = column_edges.filter(F.col("superseded_at").isNull()).select(F.explode(F.array(F.struct(F.col("from_asset").alias("asset"), F.col("from_column").alias("column")), F.struct(F.col("to_asset").alias("asset"), F.col("to_column").alias("column")))).alias("c"))
-    return ends.select("c.*").distinct().withColumn("name", F.concat_ws(".", "asset", "column"))
+    salt = F.pmod(F.xxhash64("from_asset", "to_asset"), F.lit(32)).alias("salt")  # a column of very many edges is first seen once in each share of them
+    ends = column_edges.filter(F.col("superseded_at").isNull()).select(salt, F.explode(F.array(F.struct(F.col("from_asset").alias("asset"), F.col("from_column").alias("column")), F.struct(F.col("to_asset").alias("asset"), F.col("to_column").alias("column")))).alias("c"))
+    ends = dealt(ends.select("c.*", "salt"), "asset", "column", "salt").distinct()
+    return dealt(stored(ends.select("asset", "column"), "column-ends"), "asset", "column").distinct().withColumn("name", F.concat_ws(".", "asset", "column"))
 
 
 def search_assets(versions: DataFrame, q: str, tag: str | None = None, owner: str | None = None) -> DataFrame:

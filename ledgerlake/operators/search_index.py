@@ -20,13 +20,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import stored
+from ..functions.session import dealt, stored
 from .metadata import highlight, query_terms, term_index
 
+TASK_DOCS, TASK_POSTINGS = 60_000, 1_000_000  # of one task of a build or merge
 KIND = "term string, key string, weight double, bucket int"
 
 
@@ -52,7 +54,7 @@ class TermIndex:
     buckets: int = 32  # folders; a listing of more becomes a job of its own
 
     def _postings(self, docs: DataFrame) -> DataFrame:
-        docs = docs.filter(F.col(self.key).isNotNull())
+        docs = dealt(stored(docs.filter(F.col(self.key).isNotNull()), "index-docs"), self.key, rows=TASK_DOCS)
         found = term_index(docs, self.key, self.fields).select("term", F.col(self.key).cast("string").alias("key"), "weight")
         for label, c in self.exact.items():
             values = F.explode(F.col(c).cast("array<string>")) if docs.schema[c].dataType.typeName() == "array" else F.col(c).cast("string")
@@ -64,8 +66,13 @@ class TermIndex:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, to: str, **options: str) -> None:
-        """A common term's bucket is split over tasks and files, by size."""
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.options(**options).mode("overwrite").partitionBy("bucket").parquet(to)
+        """A common term's bucket is split over tasks and files of about TASK_POSTINGS; counts of the buckets say over how many."""
+        rows = stored(rows, "index-rows")
+        sizes = {r.bucket: -(-r["count"] // TASK_POSTINGS) for r in rows.groupBy("bucket").count().collect()}
+        first = dict(zip(sizes, accumulate(sizes.values(), initial=0)))
+        share = F.pmod(F.xxhash64("key", "term"), F.get(F.array(*map(F.lit, (sizes.get(b, 1) for b in range(self.buckets)))), F.col("bucket")))
+        place = F.get(F.array(*map(F.lit, (first.get(b, 0) for b in range(self.buckets)))), F.col("bucket")) + share
+        rows.repartitionById(max(1, sum(sizes.values())), place.cast("int")).sortWithinPartitions("bucket", "term").write.options(**options).mode("overwrite").partitionBy("bucket").parquet(to)
 
     def _numbers(self, spark: SparkSession, table: str) -> list[int]:
         """Numbers of the updates that the table has."""

@@ -93,3 +93,12 @@ def test_empty_tables(spark):
     at.update(docs(spark, []), docs(spark, DOCS[:1]))
     at.merge(spark)
     assert everything(at, spark) == []
+
+
+def test_no_task_of_a_build_holds_more_as_the_table_grows(spark, monkeypatch):
+    monkeypatch.setattr(search_index, "TASK_POSTINGS", 100, raising=False)
+    rows = [(f"orders {i}", "orders of a day", "ann", ["gold"]) for i in range(2000)]
+    at = index(spark, "large", rows)
+    held = spark.read.parquet(f"{at.path}/postings").groupBy(F.input_file_name().alias("file")).count()
+    assert held.agg(F.max("count")).first()[0] <= 200
+    assert at.search(spark, "orders gold").count() == 2000 and found(at, spark, "orders 7") == {"orders 7": 2.4}
