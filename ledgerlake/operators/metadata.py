@@ -62,7 +62,7 @@ def highlight(text: Column, q: str) -> Column:
 
 def asset_documents(versions: DataFrame) -> DataFrame:
     """The newest versions with their tags as a text."""
-    return latest(versions, "asset", "created_at").withColumn("tag_text", F.array_join("tags", " "))
+    return latest(dealt(versions, "asset"), "asset", "created_at").withColumn("tag_text", F.array_join("tags", " "))
 
 
 def column_documents(column_edges: DataFrame) -> DataFrame:
