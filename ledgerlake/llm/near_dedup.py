@@ -10,7 +10,7 @@ A bucket's members are compared with its leader, the smallest id.  Where all are
 far), it is done.  Else the members outside its largest class are compared with every member of another class where the
 bucket has at most WHOLE members, and with LEADERS leaders where it has more.  Of these larger buckets, those that still have two
 classes are dealt into tiles by text length and salt; a tile compares the bags of words of all members of different
-classes, by counts in BINS bins, and hands on each pair that these counts don't rule out.  The bound never rules out a similar pair, so in buckets of any size no link that would join two classes is missed, and no pair is named that a bound can reject.
+classes, by counts in BINS bins, and hands on each pair that these counts don't rule out, in the first bucket that its texts share.  The bound never rules out a similar pair, so in buckets of any size no link that would join two classes is missed, and no pair is named that a bound can reject.
 A pair counts as similar if its word
 edit similarity, 1 - distance / longer length, is at least `similarity`; a bag-of-words bound and the
 band's width reject most others early.  Classes are the connected components of the links.
@@ -39,8 +39,8 @@ WORDS, ORDER, SKETCHES, SIMILARITY = 3, 2, 32, 0.8
 SHORTER = ((2, 80), (1, 20))
 LEADERS = 4
 WHOLE = 32
-BINS = 256
-COARSE = 64  # bins that a first bound looks at
+BINS = 2048
+COARSE, MIDDLE = 64, 256  # bins that first bounds look at
 TILE = 1024  # members of a side of a tile, about
 TILE_CELLS = 1 << 22
 CELL_BYTES = 16_000_000
@@ -127,26 +127,39 @@ def bag(words: np.ndarray) -> bytes:
 
 
 def sketch_texts(texts: DataFrame, k: int, order: int, sketches: int) -> DataFrame:
-    """id, digest, s array<long>, n_words, bag."""
+    """id, digest, s array<long>."""
     seeds = _mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     kind = dict(texts.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rows, lengths, bags = [], [], []
+            rows = []
             for t in batch.column("text").to_pylist():
                 words = t.split()
                 hashed = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
                 rows.append(text_sketches(hashed, k, order, seeds))
-                lengths.append(len(words))
-                bags.append(bag(hashed))
             flat = np.concatenate(rows).view(np.int64) if rows else np.empty(0, dtype=np.int64)
             bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), lists, pa.array(lengths, type=pa.int32()), pa.array(bags, type=pa.binary())], ["id", "digest", "s", "n_words", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), lists], ["id", "digest", "s"])
 
-    return texts.mapInArrow(run, f"id {kind}, digest string, s array<long>, n_words int, bag binary")
+    return texts.mapInArrow(run, f"id {kind}, digest string, s array<long>")
+
+
+def bags_of(texts: DataFrame) -> DataFrame:
+    """id, n_words, bag of texts (id, text)."""
+    kind = dict(texts.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                words = [np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w)) for w in map(str.split, some.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(map(len, words), type=pa.int32()), pa.array(map(bag, words), type=pa.binary())], ["id", "n_words", "bag"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, n_words int, bag binary")
 
 
 # ---- verification --------------------------------------------------------------------------------------
@@ -272,7 +285,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     """
     kind = dict(texts.dtypes)["id"]
     needed = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
-    size = texts.join(needed, "id", "left_semi").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = texts.select("id", F.octet_length("text").alias("size")).join(needed, "id", "left_semi").agg(F.sum("size")).first()[0] or 0
     sides = max(1, -(-size // CELL_BYTES))
     side = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
     dealt = pairs.select("id", "leader", side("id").alias("a"), side("leader").alias("b"))
@@ -290,6 +303,12 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 # ---- links and classes ---------------------------------------------------------------------------------
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows (id, j, key) of buckets with two texts or more."""
+    ends = rows.groupBy("j", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    return rows.join(ends.select("j", "key"), ["j", "key"], "left_semi")
+
+
 def led(rows: DataFrame) -> DataFrame:
     """j, key, leaders (array of id and class c) of the buckets with two classes or more: the smallest id of each of LEADERS shares of a bucket."""
     shares = rows.groupBy("j", "key", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("share")).agg(F.min(F.struct("id", "c")).alias("leader"), F.min("c").alias("low"), F.max("c").alias("high"))
@@ -315,14 +334,28 @@ def left_by_bags(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, s
     """The pairs (row of x, row of y; bags and n words) that their bags don't rule out: words that one has more of than the other have to be edited."""
     longer, shift = np.maximum(nx[:, None], ny[None, :]), np.abs(nx[:, None] - ny[None, :])
     left = 2 * ((1 - similarity) * longer + 1e-9).astype(np.int32) - shift
-    fold = lambda bags: np.ascontiguousarray(bags.reshape(len(bags), COARSE, -1).sum(axis=2, dtype=np.int16).T)
+    fold = lambda bags, bins: bags.reshape(len(bags), -1, bins).sum(axis=1, dtype=np.int16)
     apart = np.zeros(left.shape, dtype=np.int32)
-    for a, b in zip(fold(x), fold(y), strict=True):
+    for a, b in zip(np.ascontiguousarray(fold(x, COARSE).T), np.ascontiguousarray(fold(y, COARSE).T), strict=True):
         apart += np.abs(a[:, None] - b[None, :])
     i, j = np.nonzero(apart <= left)
-    kept = [np.abs(x[i[at : at + 4096]].astype(np.int16) - y[j[at : at + 4096]]).sum(axis=1) for at in range(0, len(i), 4096)]
-    fine = np.concatenate(kept) <= left[i, j] if kept else np.zeros(0, dtype=bool)
-    return i[fine], j[fine]
+    for bins in (MIDDLE, BINS):
+        some, others, step = fold(x, bins), fold(y, bins), max(1, (1 << 20) // bins)
+        kept = [np.abs(some[i[at : at + step]] - others[j[at : at + step]]).sum(axis=1, dtype=np.int32) for at in range(0, len(i), step)]
+        fine = np.concatenate(kept) <= left[i, j] if kept else np.zeros(0, dtype=bool)
+        i, j = i[fine], j[fine]
+    return i, j
+
+
+def earlier_buckets(buckets: list, own: str) -> np.ndarray:
+    """Bits of each member that say in which of the buckets before `own` it lies, of those that have two members here."""
+    count = Counter(b for some in buckets for b in some if b < own)
+    number = {b: i for i, b in enumerate(b for b, n in count.items() if n > 1)}
+    bits = np.zeros((len(buckets), -(-max(1, len(number)) // 8)), dtype=np.uint8)
+    for row, some in enumerate(buckets):
+        for at in (number[b] for b in some if b in number):
+            bits[row, at >> 3] |= 1 << (at & 7)
+    return bits
 
 
 def tile_pairs(large: DataFrame, similarity: float) -> DataFrame:
@@ -330,9 +363,12 @@ def tile_pairs(large: DataFrame, similarity: float) -> DataFrame:
 
     Texts of a similar pair differ in length by the factor `similarity` at most, so they lie in one length
     class or in two neighbours.  A cell holds the members of a class and of the next longer one, and
-    is cut into tiles of about TILE members a side.
+    is cut into tiles of about TILE members a side.  Which bucket of a pair's buckets is the first is the same in all tiles,
+    as each text has the names of its buckets with it.
     """
     kind = dict(large.dtypes)["id"]
+    large = large.withColumn("bucket", F.concat_ws(":", "j", "key"))
+    large = large.join(large.groupBy("id").agg(F.collect_list("bucket").alias("buckets")), "id")
     size_class = F.floor(F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double")) / F.lit(-np.log(similarity)) + 1e-9).cast("int") if similarity < 1 else F.col("n_words")
     sized = large.withColumn("g", size_class)
     cells = sized.withColumn("cell", F.explode(F.array("g", F.col("g") - 1))).withColumn("own", F.col("cell") == F.col("g"))
@@ -340,19 +376,23 @@ def tile_pairs(large: DataFrame, similarity: float) -> DataFrame:
     counts = counts.filter("low < high and any_own").select("j", "key", "cell", "sides")
     placed = cells.join(counts, ["j", "key", "cell"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    tiles = tiles.select("j", "key", "cell", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "own", "id", "c", "n_words", "bag")
+    tiles = tiles.select("j", "key", "cell", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "own", "id", "c", "n_words", "bag", "bucket", "buckets")
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         ids, classes, n = tile["id"].to_numpy(), tile["c"].to_numpy(), tile["n_words"].to_numpy(dtype=np.int32)
         bags = np.frombuffer(b"".join(tile["bag"]), dtype=np.uint8).reshape(len(tile), BINS)
         own, side, a, b = tile["own"].to_numpy(), tile["side"].to_numpy(), int(tile["a"].iloc[0]), int(tile["b"].iloc[0])
         first, second, found = np.flatnonzero(side == a), np.flatnonzero(side == b), []
+        before = earlier_buckets(tile["buckets"].tolist(), tile["bucket"].iloc[0])
         step = max(1, TILE_CELLS // max(1, len(second)))
         for at in range(0, len(first), step):
             rows = first[at : at + step]
             i, j = left_by_bags(bags[rows], n[rows], bags[second], n[second], similarity)
             x, y = rows[i], second[j]
             new = (classes[x] != classes[y]) & (own[x] | own[y])
+            x, y = x[new], y[new]
+            some = max(1, (1 << 22) // before.shape[1])
+            new = np.concatenate([np.zeros(0, dtype=bool), *(~(before[x[k : k + some]] & before[y[k : k + some]]).any(axis=1) for k in range(0, len(x), some))])
             found.append(pd.DataFrame({"id": np.maximum(ids[x], ids[y])[new], "leader": np.minimum(ids[x], ids[y])[new]}))
         return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"id": ids[:0], "leader": ids[:0]})
 
@@ -360,11 +400,11 @@ def tile_pairs(large: DataFrame, similarity: float) -> DataFrame:
 
 
 def links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """id, leader: verified links between different texts, the smaller id second; members: id, s, n_words, bag; texts: id, text.
+    """id, leader: verified links between different texts, the smaller id second; members: id, s; texts: id, text.
 
     The links connect the classes; links between texts that others connect already may be left out.
     """
-    rows = members.select("id", F.posexplode("s").alias("j", "key"), F.col("id").alias("c"))
+    rows = stored(shared(members.select("id", F.posexplode("s").alias("j", "key"))), "near-shared").withColumn("c", F.col("id"))
     state = stored(rows.join(led(rows), ["j", "key"]), "near-buckets")
     # texts that share no bucket are not needed further
     texts = stored(texts.join(state.select("id").distinct().hint("merge"), "id", "left_semi"), "near-texts")
@@ -387,7 +427,9 @@ def links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
         else:
             seen, bounds = classed(seen.join(bounds.filter(F.col("n") > WHOLE).select("j", "key"), ["j", "key"], "left_semi"))
             large = seen.select("id", "j", "key", "c").join(bounds.select("j", "key"), ["j", "key"], "left_semi")
-            pairs = tile_pairs(large.join(members.select("id", "n_words", "bag"), "id"), similarity)
+            many = stored(large, "near-large")
+            bags = bags_of(texts.join(many.select("id").distinct(), "id", "left_semi"))
+            pairs = tile_pairs(many.join(bags, "id"), similarity)
         pairs = stored(pairs if tried is None else pairs.join(tried, ["id", "leader"], "left_anti"), "near-pairs")
         good = stored(verified(pairs, texts, similarity), "near-links")
         found = good if found is None else found.unionByName(good)
@@ -423,7 +465,7 @@ def _of_unique_ids(named: DataFrame, k: int, order: int, sketches: int, similari
     signed = stored(sketch_texts(named.withColumn("digest", F.sha2("text", 256)), k, order, sketches), "near-sketches")
     # equal texts: the smallest id stands for all
     texts = stored(signed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "near-digests")
-    members = stored(signed.select("id", "s", "n_words", "bag").join(texts.select("id"), "id", "left_semi"), "near-members")
+    members = stored(signed.select("id", "s").join(texts.select("id"), "id", "left_semi"), "near-members")
     edges = stored(links(members, named, similarity), "near-edges")
     classes = components(edges)
     degree = edges.select("id").unionByName(edges.select(F.col("leader").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))

@@ -494,3 +494,20 @@ def test_odd_rows_do_not_break(docs):
     assert quality.score(found, quality.train(found)).count() == n
     assert repeats.remove_repeats(docs).count() == n
     assert toxicity.score(docs, toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))).count() == n
+
+
+def test_bags_rule_out_long_texts_that_share_a_passage():
+    rng = np.random.default_rng(23)
+    passage, hashes = [f"p{x}" for x in range(490)], near_dedup.WordHashes()
+    texts = [passage + [f"t{i}_{x}" for x in rng.integers(0, 10**6, 210)] for i in range(20)]
+    bags = np.stack([np.frombuffer(near_dedup.bag(np.asarray([hashes[w] for w in t], dtype=np.uint64)), dtype=np.uint8) for t in texts])
+    n = np.asarray([len(t) for t in texts], dtype=np.int32)
+    i, j = near_dedup.left_by_bags(bags, n, bags, n, 0.8)
+    assert (i == j).all() and len(i) == len(texts)
+
+
+def test_a_pair_is_left_to_its_first_shared_bucket():
+    buckets = [["1:5", "2:7", "3:9"], ["2:7", "3:9"], ["3:9"], ["1:5", "3:9", "4:0"]]
+    common = lambda own: [(i, j) for bits in [near_dedup.earlier_buckets(buckets, own)] for i in range(4) for j in range(i) if not (bits[i] & bits[j]).any()]
+    assert common("1:5") == [(i, j) for i in range(4) for j in range(i)]
+    assert common("3:9") == [(2, 0), (2, 1), (3, 1), (3, 2)]
