@@ -148,8 +148,8 @@ def sketch_texts(texts: DataFrame, k: int, order: int, sketches: int) -> DataFra
 
 
 def bags_of(texts: DataFrame) -> DataFrame:
-    """id, n_words, bag of texts (id, text)."""
-    kind = dict(texts.dtypes)["id"]
+    """The rows with n_words and bag instead of text."""
+    others = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -157,9 +157,11 @@ def bags_of(texts: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
                 words = [np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w)) for w in map(str.split, some.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(map(len, words), type=pa.int32()), pa.array(map(bag, words), type=pa.binary())], ["id", "n_words", "bag"])
+                columns = [*map(some.column, others), pa.array(map(len, words), type=pa.int32()), pa.array(map(bag, words), type=pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*others, "n_words", "bag"])
 
-    return texts.select("id", "text").mapInArrow(run, f"id {kind}, n_words int, bag binary")
+    kinds = dict(texts.dtypes)
+    return texts.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in others), "n_words int, bag binary"]))
 
 
 # ---- verification --------------------------------------------------------------------------------------
@@ -358,25 +360,40 @@ def earlier_buckets(buckets: list, own: str) -> np.ndarray:
     return bits
 
 
-def tile_pairs(large: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (id, the smaller one as leader) of members of different classes that their bags leave; large: j, key, id, c, n_words, bag.
+def bagged(large: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, c, buckets (names), n_words, bag: one row a text of the members (id, j, key, c), written once; so members themselves are joined with no text or bag."""
+    named = large.groupBy("id", "c").agg(F.collect_list(F.concat_ws(":", "j", "key")).alias("buckets"))
+    return stored(bags_of(texts.select("id", "text").join(named, "id")), "near-bags")
+
+
+def cells_of(members: DataFrame) -> DataFrame:
+    """bucket, g, cell, sides, own: the cells where the members (bucket, g, c) of a length class belong.
+
+    A cell holds the class of its number and the next longer one; only those with two classes of texts count.  That comes from counts
+    of the length classes, so no member is there twice for it.
+    """
+    counts = members.groupBy("bucket", "g").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    both = counts.withColumn("cell", F.explode(F.array("g", F.col("g") - 1))).withColumn("own", F.col("cell") == F.col("g"))
+    cells = both.groupBy("bucket", "cell").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("sides"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("own").alias("any_own"))
+    cells = cells.filter("low < high and any_own").select("bucket", "cell", "sides")
+    return cells.select("bucket", F.explode(F.array("cell", F.col("cell") + 1)).alias("g"), "cell", "sides").withColumn("own", F.col("cell") == F.col("g"))
+
+
+def tile_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (id, the smaller one as leader) of members of different classes that their bags leave; rows: as `bagged` has them.
 
     Texts of a similar pair differ in length by the factor `similarity` at most, so they lie in one length
     class or in two neighbours.  A cell holds the members of a class and of the next longer one, and
-    is cut into tiles of about TILE members a side.  Which bucket of a pair's buckets is the first is the same in all tiles,
-    as each text has the names of its buckets with it.
+    is cut into tiles of about TILE members a side, which are dealt out one by one.  Which bucket of a pair's buckets is the first is
+    the same in all tiles, as each text has the names of its buckets with it.
     """
-    kind = dict(large.dtypes)["id"]
-    large = large.withColumn("bucket", F.concat_ws(":", "j", "key"))
-    large = large.join(large.groupBy("id").agg(F.collect_list("bucket").alias("buckets")), "id")
+    kind = dict(rows.dtypes)["id"]
     size_class = F.floor(F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double")) / F.lit(-np.log(similarity)) + 1e-9).cast("int") if similarity < 1 else F.col("n_words")
-    sized = large.withColumn("g", size_class)
-    cells = sized.withColumn("cell", F.explode(F.array("g", F.col("g") - 1))).withColumn("own", F.col("cell") == F.col("g"))
-    counts = cells.groupBy("j", "key", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("sides"), F.min("c").alias("low"), F.max("c").alias("high"), F.bool_or("own").alias("any_own"))
-    counts = counts.filter("low < high and any_own").select("j", "key", "cell", "sides")
-    placed = cells.join(counts, ["j", "key", "cell"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    members = rows.withColumn("g", size_class).withColumn("bucket", F.explode("buckets"))
+    cells = stored(cells_of(members), "near-cells")
+    placed = members.join(cells, ["bucket", "g"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    tiles = tiles.select("j", "key", "cell", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "own", "id", "c", "n_words", "bag", "bucket", "buckets")
+    tiles = tiles.select("cell", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "own", "id", "c", "n_words", "bag", "bucket", "buckets")
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         ids, classes, n = tile["id"].to_numpy(), tile["c"].to_numpy(), tile["n_words"].to_numpy(dtype=np.int32)
@@ -396,7 +413,8 @@ def tile_pairs(large: DataFrame, similarity: float) -> DataFrame:
             found.append(pd.DataFrame({"id": np.maximum(ids[x], ids[y])[new], "leader": np.minimum(ids[x], ids[y])[new]}))
         return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"id": ids[:0], "leader": ids[:0]})
 
-    return tiles.groupBy("j", "key", "cell", "a", "b").applyInPandas(run, f"id {kind}, leader {kind}").distinct()
+    # by the tile: Spark would be content with the rows as they lie by bucket or cell, and give one task all tiles of a large one
+    return tiles.repartition("bucket", "cell", "a", "b").groupBy("bucket", "cell", "a", "b").applyInPandas(run, f"id {kind}, leader {kind}").distinct()
 
 
 def links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -427,9 +445,7 @@ def links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
         else:
             seen, bounds = classed(seen.join(bounds.filter(F.col("n") > WHOLE).select("j", "key"), ["j", "key"], "left_semi"))
             large = seen.select("id", "j", "key", "c").join(bounds.select("j", "key"), ["j", "key"], "left_semi")
-            many = stored(large, "near-large")
-            bags = bags_of(texts.join(many.select("id").distinct(), "id", "left_semi"))
-            pairs = tile_pairs(many.join(bags, "id"), similarity)
+            pairs = tile_pairs(bagged(large, texts), similarity)
         pairs = stored(pairs if tried is None else pairs.join(tried, ["id", "leader"], "left_anti"), "near-pairs")
         good = stored(verified(pairs, texts, similarity), "near-links")
         found = good if found is None else found.unionByName(good)

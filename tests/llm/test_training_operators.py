@@ -511,3 +511,25 @@ def test_a_pair_is_left_to_its_first_shared_bucket():
     common = lambda own: [(i, j) for bits in [near_dedup.earlier_buckets(buckets, own)] for i in range(4) for j in range(i) if not (bits[i] & bits[j]).any()]
     assert common("1:5") == [(i, j) for i in range(4) for j in range(i)]
     assert common("3:9") == [(2, 0), (2, 1), (3, 1), (3, 2)]
+
+
+def test_tiles_join_members_with_no_text_and_are_dealt_one_by_one(spark, monkeypatch):
+    # an earlier form joined every member with its text's bag, its buckets and again for counts, and gave one task all tiles of a cell
+    monkeypatch.setattr(near_dedup, "TILE", 25)
+    rng = np.random.default_rng(29)
+    texts = [" ".join([*(f"p{x}" for x in range(90)), *(f"t{x}" for x in rng.integers(0, 40, 10 + i % 40))]) for i in range(120)]
+    words = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    members = spark.createDataFrame([(i, j, 7 - j, i - i % 3) for i in range(120) for j in range(1 + i % 2)], "id long, j int, key long, c long")
+    rows = near_dedup.bagged(members, words)
+    assert rows.count() == 120 and sorted(map(len, (r.buckets for r in rows.collect()))) == [1] * 60 + [2] * 60
+    found = near_dedup.tile_pairs(rows, 0.8)
+    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert len(joins) == 1 and "bucket" in joins[0] and "MapInArrow" not in plan
+    assert re.search(r"hashpartitioning\(bucket#\d+, cell#\d+, a#\d+, b#\d+, \d+\), REPARTITION_BY_COL", plan)
+    got = [(r.id, r.leader) for r in found.collect()]
+    hashes = near_dedup.WordHashes()
+    bags = np.stack([np.frombuffer(near_dedup.bag(np.asarray([hashes[w] for w in t.split()], dtype=np.uint64)), dtype=np.uint8) for t in texts])
+    n = np.asarray([len(t.split()) for t in texts], dtype=np.int32)
+    left = zip(*near_dedup.left_by_bags(bags, n, bags, n, 0.8), strict=True)
+    assert sorted(got) == sorted((i, j) for i, j in left if i > j and i // 3 != j // 3) and len(got) > 1000
