@@ -14,6 +14,9 @@ from ledgerlake.llm import exact_dedup, near_dedup, packing, pii, quality
 from ledgerlake.llm.common import stored, table
 from ledgerlake.llm.registry import SURROGATE_KEY, tokenizer_path
 
+# Stages share an executor's Python workers, and a worker keeps the tokenizer's cache while it serves the next ones.
+CACHED_CHUNKS = 400_000
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier does not reject."""
@@ -43,7 +46,7 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row a piece, as in op10, with its tokens' checksum."""
     ship(spark)
-    pieces = packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    pieces = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), cached=CACHED_CHUNKS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 

@@ -46,6 +46,7 @@ TILE_CELLS = 1 << 22
 CELL_BYTES = 16_000_000
 BATCH_CELLS = 4_000_000
 SKETCH_CELLS = 1 << 19
+CACHED_WORDS = 150_000
 
 
 # ---- sketches ------------------------------------------------------------------------------------------
@@ -64,7 +65,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > CACHED_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from .tokens import CACHE_CHUNKS, encoder
 
 MAX_LENGTH = 2048
 CLOSING_ID = 1
@@ -30,8 +30,8 @@ def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", max_length: int = MAX_LENGTH, closing_id: int = CLOSING_ID) -> DataFrame:
-    """One row a piece: key, start, length, bucket (log2 of length), doc_tokens, ids binary, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", max_length: int = MAX_LENGTH, closing_id: int = CLOSING_ID, cached: int = CACHE_CHUNKS) -> DataFrame:
+    """One row a piece: key, start, length, bucket (log2 of length), doc_tokens, ids binary, sequence_id, offset.  Fewer cached chunks take less of a worker's memory and more time, with the same result."""
     whole = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = dict(whole.dtypes)["id"]
     closing = np.asarray([closing_id], dtype="<u4").tobytes()
@@ -40,7 +40,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ma
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS_IN):
                 some = batch.slice(i, ROWS_IN)
-                all_ids = [x + closing for x in encoder(path).encode(some.column("text").to_pylist())]
+                all_ids = [x + closing for x in encoder(path, cached).encode(some.column("text").to_pylist())]
                 lengths = [piece_lengths(len(x) // 4, max_length) for x in all_ids]
                 starts = [np.cumsum([0, *p[:-1]]).tolist() for p in lengths]
                 rows = np.repeat(np.arange(some.num_rows), [len(p) for p in lengths])

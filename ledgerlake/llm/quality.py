@@ -34,6 +34,7 @@ NONE, KEEP, REJECT = 0, 1, 2
 LABELLERS = ("pipes", "symbols", "exclaims", "capitals", "same_lines", "few_words", "stammer", "stop_words", "word_length")
 DIMENSIONS = 1 << 14
 MAX_ROWS = 8_000
+CACHED_CHUNKS = 150_000  # a worker keeps what its caches took, and an executor has a worker a core
 WINDOW = 500
 SYMBOLS = re.compile(r"[#$%&*~^=<>\\{}\[\]_@]{2,}")
 # Frequent function words of English, French, German and Spanish.
@@ -178,7 +179,7 @@ def described(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Chunks(describe, 8)
+        cache = Chunks(describe, 8, CACHED_CHUNKS)
         for batch in batches:
             for some in slices(batch):
                 p, words, document, feature, value = _vectors(some.column("text").to_pylist(), cache)
@@ -255,7 +256,7 @@ def keep_good(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: fl
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, Chunks(describe, 8)
+        model, cache = shared.value, Chunks(describe, 8, CACHED_CHUNKS)
         for batch in batches:
             for some in slices(batch):
                 texts = [t or "" for t in some.column(names.index(text)).to_pylist()]

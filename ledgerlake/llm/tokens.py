@@ -25,17 +25,17 @@ import numpy as np
 UNSAFE = re.compile("[^\n\r\t -~¡-¬®-ɏ‐-‧€]")
 SPACE_START = re.compile(r"(?= [^\s])")
 END = ".,;:!?"
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 1_000_000  # twice as many with those of before; a worker keeps them, whatever stage it serves next
 CACHED_LENGTH = 64
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most: int = CACHE_CHUNKS) -> Encoder:
+    return Encoder(path, most)
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHE_CHUNKS) -> None:
         import json
         import os
 
@@ -50,6 +50,7 @@ class Encoder:
             spec = json.load(f)
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.drops_space = (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel"
+        self.most = most
         self.cache: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -77,7 +78,7 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.chunks(t) for t in texts]
         cache = self.cache
-        if len(cache) > CACHE_CHUNKS:
+        if len(cache) > self.most:
             self.before, self.cache = cache, {}
             cache = self.cache
         missing = list(set().union(*filter(None, split)).difference(cache))

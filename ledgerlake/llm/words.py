@@ -12,11 +12,12 @@ LINE_END = "\x00"
 
 
 class Chunks(dict):
-    """Chunk -> row of `figures`, made by `describe` when first met."""
+    """Chunk -> row of `figures`, made by `describe` when first met; emptied beyond `most` chunks."""
 
-    def __init__(self, describe: Callable[[str], tuple], width: int) -> None:
+    def __init__(self, describe: Callable[[str], tuple], width: int, most: int = MAX_CHUNKS) -> None:
         super().__init__()
         self.describe = describe
+        self.most = most
         self.figures = np.zeros((4096, width), dtype=np.float64)
 
     def __missing__(self, chunk: str) -> int:
@@ -28,7 +29,7 @@ class Chunks(dict):
         return n
 
     def trim(self) -> None:
-        if len(self) > MAX_CHUNKS:
+        if len(self) > self.most:
             self.clear()
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -533,3 +533,24 @@ def test_tiles_join_members_with_no_text_and_are_dealt_one_by_one(spark, monkeyp
     n = np.asarray([len(t.split()) for t in texts], dtype=np.int32)
     left = zip(*near_dedup.left_by_bags(bags, n, bags, n, 0.8), strict=True)
     assert sorted(got) == sorted((i, j) for i, j in left if i > j and i // 3 != j // 3) and len(got) > 1000
+
+
+def test_caches_of_a_worker_stay_small():
+    # a worker keeps what a cache took: in the pipeline the tokenizer's could hold two million entries, those of quality and sketches half a million
+    import corpus_pipeline
+    from ledgerlake.llm.tokens import Encoder
+    from ledgerlake.llm.words import Chunks
+
+    kept, encoder = 0, Encoder(tokenizer_path("word_bpe_49k.json"), corpus_pipeline.CACHED_CHUNKS)
+    for at in range(0, 600_000, 30_000):
+        encoder.encode([" ".join(f"{x:x}," for x in range(at, at + 30_000))])
+        kept = max(kept, len(encoder.cache) + len(encoder.before))
+    assert 400_000 < kept < 1_000_000
+    chunks, most = Chunks(quality.describe, 8, quality.CACHED_CHUNKS), 0
+    for at in range(0, 400_000, 20_000):
+        codes, _ = chunks.rows([" ".join(f"{x:x}" for x in range(at, at + 20_000))])
+        most = max(most, len(chunks))
+        assert chunks.figures[codes[-1]].tolist() == list(map(float, quality.describe(f"{at + 19_999:x}")))
+    assert most < 200_000 and chunks.figures.nbytes < 20_000_000
+    hashes = near_dedup.WordHashes()
+    assert len([hashes[f"{x}"] for x in range(400_000)]) == 400_000 and len(hashes) < 200_000
