@@ -51,8 +51,8 @@ def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stripped = repeats.remove_repeats(table(spark, sf_dir, "documents"))
-    return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    stripped = repeats.remove_repeats(table(spark, sf_dir, "documents"), anchor=repeats.PASSAGE_ANCHOR, passage=repeats.PASSAGE)
+    return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

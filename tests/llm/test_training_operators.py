@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import bpe, exact_dedup, near_dedup, packing, pii, quality, repeats, sharding, topk, toxicity
-from ledgerlake.llm.registry import SURROGATE_KEY, tokenizer_path
+from ledgerlake.llm.registry import QUERIES, SURROGATE_KEY, tokenizer_path
 
 KIND = "doc_id long, text string, id string, h string, data string, norm string, slot string, n string"
 LONG = "The quick brown fox jumps over the lazy dog. " * 3000
@@ -174,6 +174,33 @@ def test_repeats_against_brute_force(spark, docs, monkeypatch, most_cuts, cut_st
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
 
 
+@pytest.mark.parametrize(("most_cuts", "cut_starts", "group_bytes"), [(1_000, 4_096, 500), (1_000, 4_096, 1 << 20), (1, 4_096, 500), (1_000, 7, 1 << 20), (1, 7, 500)])
+def test_shorter_passages_are_found_beside_the_removed_ones(spark, monkeypatch, most_cuts, cut_starts, group_bytes):
+    monkeypatch.setattr(repeats, "CUT_STARTS", cut_starts)
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdé 🙂"), n))
+    shared, short = [word(60) for _ in range(4)], [word(n) for n in (14, 18, 22)]
+    rows = [(i, word(30) + short[i % 3] + word(25) + (shared[i % 4][i % 9 :] if i % 2 else "") + ("zz" * 40 if i % 5 == 0 else "") + word(9 * (i % 3)) + short[(i + 1) % 3][: 9 + i % 9]) for i in range(40)]
+    rows += [(50, None), (51, ""), (52, "short"), (None, rows[0][1]), (3, rows[3][1]), (3, "other " + shared[0]), (53, short[2]), (54, "a" * 90)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=60, anchor=8, group_bytes=group_bytes, most_cuts=most_cuts, passage=25).collect()
+    texts = [(t or "").encode() for _, t in rows]
+    want = collections.Counter((i, int(a.sum()), np.frombuffer(t, np.uint8)[~a].tobytes(), int(b.sum())) for (i, _), t, a, b in zip(rows, texts, covered(texts, 60), covered(texts, 25), strict=True))
+    assert collections.Counter((r.doc_id, r.n_removed, bytes(r.kept), r.n_repeated) for r in got) == want
+    assert any(n == 0 < m for _, n, _, m in want)
+
+
+def test_op7_reports_passages_of_over_50_words(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
+    passage = words(52)
+    assert repeats.PASSAGE < len(passage) < repeats.LENGTH
+    rows = [(1, f"{words(60)} {passage} {words(40)}"), (2, f"{words(9)} {passage}"), (3, words(150)), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op7_run_length_index"](spark, str(tmp_path)).collect()}
+    assert [got[i].n_repeated for i in (3, 4)] == [0, 0] and all(len(passage) <= got[i].n_repeated <= len(passage) + 4 for i in (1, 2))
+    assert all(r.n_removed == 0 and r.text == (t or "") for (i, t) in rows for r in [got[i]])  # the contract's rule of 400 bytes
+
+
 @pytest.mark.parametrize("period", [1, 2, 10, 97, 300])
 def test_cuts_of_periodic_text_are_bounded(period):
     rng = np.random.default_rng(period)
